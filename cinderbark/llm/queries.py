@@ -2,23 +2,45 @@
 
 from __future__ import annotations
 
-from cinderbark.llm import exact_dedup, simhash
+from cinderbark.llm import decontaminate, exact_dedup, packing, quality, simhash
 
 
 def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer() -> str:
+    """The vocabulary file that op1 packs with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_nnls_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op2_quality_boosting(spark, sf_dir):
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_template_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash_pigeonring(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_nnls_packing": op1_nnls_packing,
+    "op2_quality_boosting": op2_quality_boosting,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_template_decontamination": op6_template_decontamination,
     "op10_simhash_pigeonring": op10_simhash_pigeonring,
 }
 
