@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cinderbark.llm import decontaminate, exact_dedup, packing, quality, simhash
+from cinderbark.llm import decontaminate, exact_dedup, packing, pii, quality, simhash
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -28,6 +28,10 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii_transducers(spark, sf_dir):
+    return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
+
+
 def op6_template_decontamination(spark, sf_dir):
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
     "op2_quality_boosting": op2_quality_boosting,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_pii_transducers": op5_pii_transducers,
     "op6_template_decontamination": op6_template_decontamination,
     "op10_simhash_pigeonring": op10_simhash_pigeonring,
 }
