@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cinderbark.llm import decontaminate, exact_dedup, packing, pii, quality, simhash
+from cinderbark.llm import decontaminate, exact_dedup, packing, pii, quality, simhash, url_filter
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -36,6 +36,10 @@ def op6_template_decontamination(spark, sf_dir):
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_url_boosting(spark, sf_dir):
+    return url_filter.judge(_table(spark, sf_dir, "pages")).drop("score")
+
+
 def op10_simhash_pigeonring(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_pii_transducers": op5_pii_transducers,
     "op6_template_decontamination": op6_template_decontamination,
+    "op9_url_boosting": op9_url_boosting,
     "op10_simhash_pigeonring": op10_simhash_pigeonring,
 }
 
