@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cinderbark.llm import decontaminate, exact_dedup, packing, pii, quality, simhash, url_filter
+from cinderbark.llm import archives, decontaminate, exact_dedup, packing, pii, quality, sharding, simhash, url_filter
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -36,6 +36,14 @@ def op6_template_decontamination(spark, sf_dir):
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_histogram_sort(spark, sf_dir):
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+def op8_zip_warc(spark, sf_dir):
+    return archives.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op9_url_boosting(spark, sf_dir):
     return url_filter.judge(_table(spark, sf_dir, "pages")).drop("score")
 
@@ -50,6 +58,8 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_pii_transducers": op5_pii_transducers,
     "op6_template_decontamination": op6_template_decontamination,
+    "op7_histogram_sort": op7_histogram_sort,
+    "op8_zip_warc": op8_zip_warc,
     "op9_url_boosting": op9_url_boosting,
     "op10_simhash_pigeonring": op10_simhash_pigeonring,
 }
@@ -66,4 +76,20 @@ WITH d AS (
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, rn = 1 AS kept, text_sha256 FROM r
 """
 
-ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
+OP8_SQL = r"""
+WITH p AS (
+  SELECT page_id, strlen(COALESCE(html, '')) AS payload_bytes, sha1(COALESCE(html, '')) AS payload_digest FROM pages
+), r AS (
+  SELECT *, ROW_NUMBER() OVER w AS rn, FIRST_VALUE(page_id) OVER w AS first_page
+  FROM p WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST)
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND rn > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND rn > 1 THEN first_page END AS refers_to
+FROM r
+"""
+
+ORACLE_SQL = {
+    "op8_zip_warc": OP8_SQL,
+    "op4_exact_dedup": OP4_SQL,
+}
