@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cinderbark.llm import archives, decontaminate, exact_dedup, packing, pii, quality, sharding, simhash, url_filter
+from cinderbark.llm import archives, decontaminate, exact_dedup, licences, packing, pii, quality, sharding, simhash, url_filter
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -24,6 +24,10 @@ def op2_quality_boosting(spark, sf_dir):
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_licence_sentences(spark, sf_dir):
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_simhash_pigeonring(spark, sf_dir):
 QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
     "op2_quality_boosting": op2_quality_boosting,
+    "op3_licence_sentences": op3_licence_sentences,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_pii_transducers": op5_pii_transducers,
     "op6_template_decontamination": op6_template_decontamination,
