@@ -19,6 +19,7 @@ none.  Rows are judged by themselves; repeated rows and null ids are carried.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -139,13 +140,17 @@ def ordered_rules() -> list[tuple[str, str, list[str]]]:
 
 
 def sentences(text: str):
-    """(start, end, number) of sentences in both readings, in order of number and place."""
-    at = 0
-    for k, m in enumerate(_END.finditer(text)):
-        yield at, m.start(), k
+    """(start, end, number) in both readings: sentences, and single lines with the number of the sentence they start in."""
+    starts, at = [0], 0
+    for m in _END.finditer(text):
+        yield at, m.start(), len(starts)
         at = m.end()
-    if at < len(text):
-        yield at, len(text), 1 << 30
+        starts.append(at)
+    yield at, len(text), len(starts)
+    at = 0
+    for line in text.split("\n"):
+        yield at, at + len(line), bisect_right(starts, at)
+        at += len(line) + 1
 
 
 def identify(text: str) -> list[tuple[int, int, str, int]]:
@@ -153,26 +158,15 @@ def identify(text: str) -> list[tuple[int, int, str, int]]:
     low = text.lower()
     if not any(a in low for a in ANCHORS):
         return []
-    table, out, seen = known(), [], set()
+    table, out = known(), {}
     longest = max(map(len, table)) * 3
-    number = 0
-    for start, end, _ in sentences(text):
-        number += 1
-        spans = [(start, end)]
-        if "\n" in text[start:end]:
-            place = start
-            for line in text[start:end].split("\n"):
-                spans.append((place, place + len(line)))
-                place += len(line) + 1
-        for a, b in spans:
-            if 3 <= b - a <= longest:
-                found = table.get(normalise(_COMMENT.sub("", text[a:b])))
-                if found:
-                    a += len(text[a:b]) - len(text[a:b].lstrip())
-                    if (a, found) not in seen:
-                        seen.add((a, found))
-                        out.append((a, b, found, number))
-    return sorted(out)
+    for start, end, number in sentences(text):
+        if 3 <= end - start <= longest:
+            found = table.get(normalise(_COMMENT.sub("", text[start:end])))
+            if found:
+                start += len(text[start:end]) - len(text[start:end].lstrip())
+                out.setdefault((start, found), (start, end, found, number))
+    return sorted(out.values())
 
 
 def _follow(found: list, used: list[bool], last: int, wanted: str, gap: int) -> int | None:

@@ -187,7 +187,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, unit: int = UN
     return rows.mapInArrow(_cutter(tokenizer, window, unit, with_ids), _PIECES_IDS if with_ids else _PIECES)
 
 
-_PLACED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, slot bigint"
+_PLACED = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, task bigint, unit int, place bigint, sequence_id bigint, slot bigint"
 
 
 def _placer(table: dict[int, np.ndarray]):
@@ -203,7 +203,7 @@ def _placer(table: dict[int, np.ndarray]):
                 row = rows[np.searchsorted(rows[:, 0], rank[at], side="right") - 1]
                 local = rank[at] - row[:, 0]
                 sequence[at], slot[at] = row[:, 2] + local // row[:, 1], row[:, 3] + local % row[:, 1]
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in fields.names[:5]] + [pa.array(sequence), pa.array(slot)], schema=fields)
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in fields.names[:8]] + [pa.array(sequence), pa.array(slot)], schema=fields)
 
     return place
 
@@ -222,10 +222,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, unit: int = UNIT
     before = Window.partitionBy("unit").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     earlier = counts.select("unit", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     ranked = made.drop("ids").join(earlier, ["unit", "task"])
-    placed = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "unit", "place", "earlier").mapInArrow(_placer(table), _PLACED)
+    placed = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "unit", "place", "earlier").mapInArrow(_placer(table), _PLACED)
     ahead = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"))
+    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     if with_ids:
-        keys = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-        return out.join(made.select(*keys, "ids").dropDuplicates(keys), [out[k].eqNullSafe(made[k]) for k in keys]).select(out["*"], made["ids"])
-    return out
+        return placed.join(made.select("task", "unit", "place", "ids"), ["task", "unit", "place"]).select(*names, "ids")
+    return placed.select(*names)
