@@ -1,7 +1,7 @@
 """WARC records in ZIP packages, read back by range without extraction.
 
-Packages hold stored (uncompressed) members: WARC files and an index of their
-records.  ``read_directory`` parses the end record, the ZIP64 end record where
+Packages hold stored members: WARC files, whose records are single gzip members,
+and an index of the records.  ``read_directory`` parses the end record, the ZIP64 end record where
 there is one, and the central directory; ``members`` then says where a member's
 bytes lie, and a record is one range read at member offset + record offset.
 
@@ -23,6 +23,7 @@ others.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import struct
@@ -36,9 +37,11 @@ from pyspark.sql import functions as F
 from cinderbark.llm.common import arrow_fields, cut, fresh, new_folder, with_row_id
 
 LEAST_REVISIT = 1000
-#: Bytes of WARC records in a package; a larger record has a package of its own.
+#: Bytes of compressed WARC records in a package; a larger record has a package of its own.
 PACKAGE_BYTES = 32_000_000
-WARC_NAME, INDEX_NAME = "archive/data.warc", "indexes/index.cdx"
+WARC_NAME, INDEX_NAME = "archive/data.warc.gz", "indexes/index.cdx"
+#: Level at which single records are compressed, as in any ``.warc.gz``.
+LEVEL = 3
 
 # --- ZIP --------------------------------------------------------------------
 
@@ -184,7 +187,7 @@ def _writer(folder: str, package_bytes: int):
 
         for b in batches:
             for row in b.to_pylist():
-                raw = record(row)
+                raw = gzip.compress(record(row), LEVEL, mtime=0)
                 if records and at + len(raw) > package_bytes:
                     yield flush()
                     records, index, at = [], [], 0
@@ -247,7 +250,7 @@ def _reader(with_payload: bool):
                         columns: list[list] = [[] for _ in fields]
                         for line in lines[at : at + 256]:
                             offset, length = map(int, line.split(" "))
-                            h, payload = parse(_at(file, start + offset, length))
+                            h, payload = parse(gzip.decompress(_at(file, start + offset, length)))
                             number = lambda k: int(h[k]) if k in h else None  # noqa: B023, E731
                             values = (number("X-Page-Id"), h.get("WARC-Target-URI"), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], number("X-Refers-To-Page"), payload)
                             for c, v in zip(columns, values):
