@@ -21,18 +21,44 @@ def decode(raw: bytes) -> str:
     return codecs.decode(raw, encoding)
 
 
+def _listed(spark: SparkSession, root: str) -> list[tuple[str, str, int]]:
+    """(path, text, modified) of files below ``root`` that Spark's reader passes over: empty ones and ignore files."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, out = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/", []
+    found = fs.listFiles(top, True)
+    while found.hasNext():
+        f = found.next()
+        path = f.getPath().toUri().getPath().removeprefix(base)
+        if path.endswith(".gitignore") and path.rpartition("/")[2] == ".gitignore":
+            stream = fs.open(f.getPath())
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            out.append((path, text, f.getModificationTime()))
+        elif f.getLen() == 0 and not any(p.startswith(".") for p in path.split("/")):
+            out.append((path, "", f.getModificationTime()))
+    return out
+
+
 def read_tree(spark: SparkSession, root: str, project_id: str = "") -> DataFrame:
-    """All files below ``root`` that a scan may need, as bytes: project_id, path, content, length, modified."""
+    """All files below ``root`` that a scan may need, as bytes: project_id, path, content, length, modified.
+
+    Contents are read on the executors; the driver lists the tree, as it does for any file source.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = found.select(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/").alias("full"), "content", "length", "modificationTime")
-    top = root.rstrip("/") + "/"
-    return base.select(
+    top = root.split("://")[-1].rstrip("/") + "/"
+    read = base.select(
         F.lit(project_id).alias("project_id"),
         F.expr(f"substring(full, {len(top) + 1})").alias("path"),
         "content",
         "length",
         F.col("modificationTime").alias("modified"),
     )
+    rest = spark.createDataFrame(_listed(spark, root), "path string, text string, at long")
+    rest = rest.select(F.lit(project_id).alias("project_id"), "path", F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("long").alias("length"), F.timestamp_millis("at").alias("modified"))
+    return read.join(rest.select("path"), "path", "left_anti").select(rest.columns).unionByName(rest)
 
 
 def project_files(files: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
