@@ -17,23 +17,34 @@ CHECKLIST = ["no_references", "no_decorators", "not_exported", "not_entry", "no_
 ID_PREFIX, ALPHABET = "VY", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def rewrite(rows: DataFrame, when: Column, score, note: str | None = None, cap: bool = True, status: bool = True, **columns) -> DataFrame:
-    """Where ``when`` holds: lower the score to ``score`` (or set it), lower the status, add a note once."""
-    when = F.coalesce(when, F.lit(False))
-    new = F.least(F.col("confidence"), F.lit(score)) if cap else F.lit(score)
-    out = rows.withColumn("hit", when)
-    lowered = F.col("hit") & (F.col("status") == "DEAD") & F.lit(status)
-    out = out.withColumn("status", F.when(lowered, "POSSIBLY_DEAD").otherwise(F.col("status")))
-    out = out.withColumn("confidence", F.when(F.col("hit"), new).otherwise(F.col("confidence")).cast("int"))
-    if note:
-        out = out.withColumn("evidence", F.when(F.col("hit"), F.array_union("evidence", F.array(F.lit(R[note])))).otherwise(F.col("evidence")))
-    for name, value in columns.items():
-        out = out.withColumn(name, F.when(F.col("hit"), value).otherwise(F.col(name)))
-    return out.drop("hit")
+def rewrite(rows: DataFrame, *steps: tuple) -> DataFrame:
+    """Lower scores.  Each step is (condition, score, note, set): where it is the first that holds, the score drops to
+    ``score`` (with ``set`` it becomes that), a DEAD status is lowered and a note is added once; a note may also be a
+    column of evidence that replaces the old."""
+    case = None
+    for k, (when, *_) in enumerate(steps):
+        case = F.when(when, k) if case is None else case.when(when, k)
+    score, status, evidence = F.col("confidence"), F.col("status"), F.col("evidence")
+    new_score, new_evidence = score, evidence
+    hit = F.col("case")
+    for k, (_, to, *rest) in enumerate(steps):
+        note, fixed = [*rest, None, False][:2]
+        to = to if isinstance(to, Column) else F.lit(to)
+        new_score = F.when(hit == k, to if fixed else F.least(score, to)).otherwise(new_score)
+        if note is not None:
+            told = note if isinstance(note, Column) else F.array_union(evidence, F.array(F.lit(R[note])))
+            new_evidence = F.when(hit == k, told).otherwise(new_evidence)
+    out = rows.withColumn("case", case)
+    return out.withColumns({
+        "confidence": new_score.cast("int"),
+        "status": F.when(hit.isNotNull() & (status == "DEAD"), "POSSIBLY_DEAD").otherwise(status),
+        "evidence": new_evidence,
+    })
 
 
 def flag(rows: DataFrame, keys: list[str], found: DataFrame, name: str) -> DataFrame:
-    return rows.join(found.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    marked = found.select(*keys, F.lit(True).alias("found")).distinct()
+    return rows.join(marked, keys, "left").select(*rows.columns, F.coalesce("found", F.lit(False)).alias(name))
 
 
 def upper_name(name: Column) -> Column:
@@ -65,39 +76,31 @@ def adjust(found: DataFrame, facts: Facts) -> DataFrame:
     is_import, name = F.col("rule") == "UNUSED_IMPORT", F.col("rule").isin("UNUSED_FUNCTION", "UNUSED_CLASS", "UNUSED_VARIABLE", "UNUSED_IGNORE", "IGNORE_WITHOUT_REASON")
     code = F.col("rule").isin("UNUSED_FUNCTION", "UNUSED_CLASS")
     init = modules.file_name(F.col("path")) == "__init__.py"
-    case = (
-        F.when((F.col("rule") == "POSSIBLY_UNUSED_MODULE") & F.col("any_dynamic"), "module")
-        .when(is_import & F.col("probe"), "probe")
-        .when(is_import & F.col("file_dynamic"), "dynamic_import")
-        .when(is_import & F.col("side"), "side")
-        .when(is_import & init, "init")
-        .when(name & hit, "dynamic")
-        .when(code & F.col("in_lambda"), "lambda")
-        .when(code & F.col("odd"), "odd")
-        .when(code & ~F.contains("qualname", F.lit(".")), "plain")
-    )
-    x = x.withColumn("case", case)
     kept_note = F.when(F.array_contains("evidence", R["public_name"]), F.concat(notes(CHECKLIST), notes(["public_name"]))).otherwise(notes(CHECKLIST))
-    x = rewrite(x, F.col("case") == "module", 60, cap=False)
-    x = rewrite(x, F.col("case") == "probe", 70, "import_probe", cap=False)
-    x = rewrite(x, F.col("case") == "dynamic_import", 70, cap=False)
-    x = rewrite(x, F.col("case") == "side", 70, "side_effect_import", cap=False)
-    x = rewrite(x, F.col("case") == "init", 70, "package_init", cap=False)
-    x = rewrite(x, F.col("case") == "dynamic", 70, evidence=notes(["dynamic_usage"]), message=F.lit(R["dynamic_usage"]))
-    x = rewrite(x, F.col("case") == "lambda", 60, "lambda_only", cap=False)
-    x = rewrite(x, F.col("case") == "odd", 75, evidence=notes(["no_references", "unrecognized_decorator", "not_exported", "not_entry", "no_dynamic_refs"]))
-    x = rewrite(x, F.col("case") == "plain", 96, evidence=kept_note)
-    return x.select(found.columns)
+    dynamic = name & F.coalesce(hit, F.lit(False))
+    x = rewrite(
+        x,
+        ((F.col("rule") == "POSSIBLY_UNUSED_MODULE") & F.col("any_dynamic"), 60, None, True),
+        (is_import & F.col("probe"), 70, "import_probe", True),
+        (is_import & F.col("file_dynamic"), 70, None, True),
+        (is_import & F.col("side"), 70, "side_effect_import", True),
+        (is_import & init, 70, "package_init", True),
+        (dynamic, 70, notes(["dynamic_usage"])),
+        (code & F.col("in_lambda"), 60, "lambda_only", True),
+        (code & F.col("odd"), 75, notes(["no_references", "unrecognized_decorator", "not_exported", "not_entry", "no_dynamic_refs"])),
+        (code & ~F.contains("qualname", F.lit(".")), 96, kept_note),
+    )
+    return x.withColumn("message", F.when(F.col("case") == 5, R["dynamic_usage"]).otherwise(F.col("message"))).select(found.columns)
 
 
 def caps(found: DataFrame, x: Reached, boot_sources: DataFrame | None = None) -> DataFrame:
     """Caps from a finding's surroundings, in order; ``boot_sources`` (project_id, path, source) names settings modules."""
     path, symbol, rule = F.col("path"), F.col("symbol"), F.col("rule")
-    out = rewrite(found, F.contains(path, F.lit("alembic/versions/")) & symbol.isin(V.ALEMBIC_NAMES) & rule.isin(V.CAPPED_RULES), 70, "alembic_name")
+    out = rewrite(found, (F.contains(path, F.lit("alembic/versions/")) & symbol.isin(V.ALEMBIC_NAMES) & rule.isin(V.CAPPED_RULES), 70, "alembic_name"))
     module = found.filter("rule = 'POSSIBLY_UNUSED_MODULE'").groupBy(*KEYS).agg(F.min("confidence").alias("module_score"))
     out = out.join(module, KEYS, "left")
     high = rule.isin(V.CAPPED_RULES) & (F.col("confidence") > F.col("module_score"))
-    out = rewrite(out.withColumn("high", high), F.col("high"), 100, "module_cap").withColumn("confidence", F.when(F.col("high"), F.col("module_score")).otherwise(F.col("confidence"))).drop("high", "module_score")
+    out = rewrite(out, (high, F.col("module_score"), "module_cap"))
 
     parts, name = F.split("qualname", r"\."), modules.file_name(path)
     parent = F.when(F.contains(path, F.lit("/")), F.element_at(F.split(path, "/"), -2)).otherwise("")
@@ -111,15 +114,15 @@ def caps(found: DataFrame, x: Reached, boot_sources: DataFrame | None = None) ->
     urls = (name == "urls.py") & symbol.isin(V.URL_SYMBOLS)
     sphinx = (rule == "UNUSED_FUNCTION") & (symbol == "setup") & (name == "conf.py") & F.arrays_overlap(modules.folders(path), F.array(F.lit("docs"), F.lit("doc")))
     convention = meta | (top & (migration | ((settings | F.col("named_settings")) & upper_name(symbol)) | ((name == "apps.py") & (rule == "UNUSED_CLASS") & F.col("app_config")) | urls | sphinx))
-    out = rewrite(out.withColumn("is_convention", convention), F.col("is_convention"), 60, "framework_convention").drop("is_convention", "named_settings", "app_config")
+    out = rewrite(out, (convention, 60, "framework_convention"))
 
     misses = x.string_symbols[1].select(*KEYS, F.col("name").alias("symbol"))
     out = flag(out, [*KEYS, "symbol"], misses, "missed")
-    out = rewrite(out, F.col("missed") & rule.isin("UNUSED_CLASS", "UNUSED_FUNCTION"), 60, "string_reference").drop("missed")
+    out = rewrite(out, (F.col("missed") & rule.isin("UNUSED_CLASS", "UNUSED_FUNCTION"), 60, "string_reference"))
     swept = x.r.facts.each("module_sweeps").select(*KEYS, F.col("value").alias("name")).join(x.r.symbols.filter("kind = 'import' AND scope_kind = 'module'").select(*KEYS, "name", "sym"), [*KEYS, "name"])
     swept = swept.select("sym").join(x.r.import_modules, "sym").select("project_id", F.col("module").alias("target")).join(x.r.module_files, ["project_id", "target"])
     out = flag(out, KEYS, swept.select("project_id", F.col("target_path").alias("path")), "swept")
-    return rewrite(out, F.col("swept") & top & upper_name(symbol) & rule.isin("UNUSED_VARIABLE", "UNUSED_CLASS", "UNUSED_FUNCTION"), 70, "settings_sweep").drop("swept").select(found.columns)
+    return rewrite(out, (F.col("swept") & top & upper_name(symbol) & rule.isin("UNUSED_VARIABLE", "UNUSED_CLASS", "UNUSED_FUNCTION"), 70, "settings_sweep")).select(found.columns)
 
 
 def settings_files(found: DataFrame, boot_sources: DataFrame) -> DataFrame:
@@ -150,7 +153,7 @@ def soften_for_errors(found: DataFrame, facts: Facts) -> DataFrame:
     out = flag(out, [*KEYS, "rule", "qualname"], mentions, "mentioned")
     out = flag(out, [*KEYS, "qualname"], local, "is_local")
     hit = rule.isin(sensitive) & (F.col("confidence") > 70) & ~F.col("is_local") & (F.col("unread") | F.col("mentioned"))
-    return rewrite(out.withColumn("soften", hit), F.col("soften"), 70, "parse_error_nearby").select(found.columns)
+    return rewrite(out, (hit, 70, "parse_error_nearby")).select(found.columns)
 
 
 def fingerprint() -> Column:

@@ -78,7 +78,7 @@ class Scan:
 
     @cached_property
     def scored(self) -> DataFrame:
-        found = scoring.caps(scoring.adjust(self.raw, self.facts), self.reached, self.sources)
+        found = scoring.caps(cut(scoring.adjust(self.raw, self.facts), "adjusted"), self.reached, self.sources)
         return scoring.soften_for_errors(found, self.facts)
 
     @cached_property
