@@ -3,12 +3,15 @@
 Every text becomes a sequence of typed tokens: numbers, units and names (words
 with a capital inside a sentence) turn into placeholders that remember their
 value, all other words are lower-cased.  Windows of ``WINDOW`` template tokens
-are hashed and joined with those of the benchmark items.  Along each alignment
-of a document and an item the slots are then checked: a value of the item has to
-stand for the same value of the document everywhere, so a question with other
-numbers or names is caught and a chance meeting of templates is not.  A document
-is contaminated by an item if the agreeing tokens of one alignment cover at
-least ``SHARE`` of the item, or ``RUN`` tokens of a longer one.
+are hashed and joined with those of the benchmark items, once over single tokens
+and once with each run of numbers or of names as one placeholder, so a value may
+have another number of words.  Along each alignment of a document and an item
+the slots are then checked: a value of the item has to stand for the same value
+of the document everywhere, so a question with other numbers or names is caught
+and a chance meeting of templates is not.  Near alignments, which inserted and
+dropped words make, are summed under one slot table, each token counted once.  A
+document is contaminated by an item if the agreeing tokens cover at least
+``SHARE`` of the item, or ``RUN`` tokens of a longer one.
 
 The benchmark's hashed windows are the build side.  Their size is checked
 before: items are dealt into as many parts as keep each part's text under
@@ -37,6 +40,8 @@ WINDOW = 8
 LEAST = 5
 SHARE = 0.6
 RUN = 30
+#: Alignments whose shifts differ by this, or by half the item's tokens, are near.
+NEAR = 8
 #: Characters of benchmark text that one pass holds in each worker.
 PART_CHARS = 16_000_000
 REMEMBERED = 700_000
@@ -106,17 +111,46 @@ class Reader:
                         self.known[c] = found[k]
         return b"".join(found)
 
-    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """value, kind (0 word, 1 number, 2 unit, 3 name), template hash, text of each token."""
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """value, kind (0 word, 1 number, 2 unit, 3 capital), at a sentence's start, at its end, text of each token."""
         raws = [self.raw(t) for t in texts]
         both = np.frombuffer(b"".join(raws), np.uint64).reshape(-1, 2)
         value, flags = both[:, 0], both[:, 1]
         text = np.repeat(np.arange(len(raws)), [len(r) // 16 for r in raws])
         kind = (flags & np.uint64(3)).astype(np.int64)
+        last = (flags & np.uint64(_LAST)) > 0
         first = np.ones(len(value), bool)
-        first[1:] = (text[1:] != text[:-1]) | ((flags[:-1] & np.uint64(_LAST)) > 0)
-        kind[((flags & np.uint64(_NAME)) > 0) & ~first] = 3
-        return value, kind, np.where(kind > 0, _PLACEHOLDERS[kind], value), text
+        first[1:] = (text[1:] != text[:-1]) | last[:-1]
+        kind[(flags & np.uint64(_NAME)) > 0] = 3
+        return value, kind, first, last, text
+
+
+class Reading:
+    """The units of a batch in one reading: tokens, or with runs of numbers and names as one unit."""
+
+    def __init__(self, value, kind, text, merged: np.ndarray | None = None):
+        n = len(value)
+        self.start = np.arange(n) if merged is None else np.flatnonzero(~merged)
+        self.size = np.diff(self.start, append=n)
+        self.kind, self.text = kind[self.start], text[self.start]
+        self.value = value
+        if merged is not None and n:
+            inner = np.arange(n) - np.repeat(self.start, self.size)
+            self.value = np.add.reduceat(value * (np.uint64(1) + inner.astype(np.uint64) * _FACTORS[0]), self.start)
+        self.template = np.where(self.kind > 0, _PLACEHOLDERS[self.kind], self.value)
+
+
+def readings(value, kind, first, last, text) -> list[Reading]:
+    """Single tokens, and merged runs; a capital at a sentence's start is a word."""
+    kind = np.where(first & (kind == 3), 0, kind)
+    return [Reading(value, kind, text), Reading(value, kind, text, _runs(kind, last, text))]
+
+
+def _runs(kind, last, text) -> np.ndarray:
+    """Which tokens continue a run of numbers or of names in their sentence."""
+    out = np.zeros(len(kind), bool)
+    out[1:] = (text[1:] == text[:-1]) & (kind[1:] == kind[:-1]) & ((kind[1:] == 1) | (kind[1:] == 3)) & ~last[:-1]
+    return out
 
 
 def windows(template: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,65 +170,137 @@ def windows(template: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int)
 
 
 class Index:
-    """The hashed windows of benchmark items."""
+    """The hashed windows of benchmark items, in each reading."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        reader = Reader()
+        tokens = Reader().tokens([t for _, t in items])
         self.ids = [i for i, _ in items]
-        self.value, self.kind, self.template, self.text = reader.tokens([t for _, t in items])
+        self.value, self.kind, self.starts, _, self.text = tokens
         self.first = np.searchsorted(self.text, np.arange(len(items)))
         self.size = np.bincount(self.text, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
-        self.tables = {}
-        for size in sorted({WINDOW, *(int(s) for s in self.size if LEAST <= s < WINDOW)}):
-            at, h = windows(self.template, self.kind, self.text, size)
+        self.readings = readings(*tokens)
+        self.tables = [self._table(r, len(items)) for r in self.readings]
+
+    def _table(self, r: Reading, n: int) -> dict:
+        units = np.bincount(r.text, minlength=n) if n else np.zeros(0, np.int64)
+        words = np.bincount(r.text, r.kind == 0, minlength=n) if n else units
+        short = (units < WINDOW) & (self.size >= LEAST) & (2 * words >= LEAST)
+        out = {}
+        for size in sorted({WINDOW, *units[short].tolist()}):
+            at, h = windows(r.template, r.kind, r.text, size)
             if size < WINDOW:
-                whole = self.size[self.text[at]] == size
+                whole = (units[r.text[at]] == size) & short[r.text[at]]
                 at, h = at[whole], h[whole]
             order = np.argsort(h, kind="stable")
             h = h[order]
             seen = np.zeros(1 << 20, bool)
             seen[h >> np.uint64(44)] = True
-            self.tables[size] = (seen, h, at[order])
+            out[size] = (seen, h, at[order])
+        return out
 
-    def hits(self, template, kind, text):
-        """(document position, item position, window size) of equal windows."""
+    def hits(self, found: list[Reading]):
+        """(reading, document unit, item unit, window size) of equal windows."""
         out = []
-        for size, (seen, hashes, places) in self.tables.items():
-            at, h = windows(template, kind, text, size)
-            likely = seen[h >> np.uint64(44)]
-            at, h = at[likely], h[likely]
-            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            n = hi - lo
-            if n.sum():
-                d = np.repeat(at, n)
-                k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                out.append((d, places[k], np.full(len(d), size)))
+        for number, (r, tables) in enumerate(zip(found, self.tables)):
+            for size, (seen, hashes, places) in tables.items():
+                if not len(hashes):
+                    continue
+                at, h = windows(r.template, r.kind, r.text, size)
+                likely = seen[h >> np.uint64(44)]
+                at, h = at[likely], h[likely]
+                lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+                n = hi - lo
+                if n.sum():
+                    d = np.repeat(at, n)
+                    k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    out.append((np.full(len(d), number), d, places[k], np.full(len(d), size), r.text[d], self.readings[number].text[places[k]]))
         return out
 
-    def judge(self, value, kind, template, text, share: float, run: int):
+    def judge(self, value, kind, first, last, text, share: float, run: int):
         """(text, item, covered share, first token, tokens, changed slots) of contaminated texts."""
-        found = self.hits(template, kind, text)
-        if not found:
+        found = readings(value, kind, first, last, text)
+        hits = self.hits(found)
+        if not hits:
             return
-        d, b, size = (np.concatenate(x) for x in zip(*found))
-        item = self.text[b]
-        order = np.lexsort((d, d - b, item, text[d]))
-        d, b, size, item = d[order], b[order], size[order], item[order]
-        new = np.flatnonzero(np.concatenate([[True], (text[d][1:] != text[d][:-1]) | (item[1:] != item[:-1]) | ((d - b)[1:] != (d - b)[:-1])]))
-        best = {}
-        for lo, hi in zip(new, [*new[1:], len(d)]):
-            at = np.unique(np.concatenate([np.arange(x, x + s) for x, s in zip(d[lo:hi], size[lo:hi])]))
-            shift, it, doc = b[lo] - d[lo], int(item[lo]), int(text[d[lo]])
-            slots = kind[at] > 0
-            mine, theirs = value[at[slots]], self.value[at[slots] + shift]
-            agree = consistent(theirs, mine)
-            tokens = int(len(at) - slots.sum() + agree.sum())
+        number, d, b, size, doc, item = (np.concatenate(x) for x in zip(*hits))
+        order = np.lexsort((d, d - b, number, item, doc))
+        number, d, b, size, doc, item = (x[order] for x in (number, d, b, size, doc, item))
+        new = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+        pair = np.flatnonzero(np.concatenate([[True], new]))
+        lane = np.flatnonzero(np.concatenate([[True], new | (number[1:] != number[:-1]) | ((d - b)[1:] != (d - b)[:-1])]))
+        for lo, hi in zip(pair, [*pair[1:], len(d)]):
+            it = int(item[lo])
+            bounds = [*lane[np.searchsorted(lane, lo) : np.searchsorted(lane, hi)], hi]
+            lanes = [
+                Lane(self, found[number[x]], self.readings[number[x]], value, d[x:y], b[x:y], size[x:y]) for x, y in zip(bounds, bounds[1:])
+            ]
+            best = self._best(lanes, int(self.size[it]))
+            tokens, at, changed = best
             covered = tokens / int(self.size[it])
             if covered >= share or tokens >= run:
-                row = (doc, it, covered, int(at[0] - np.searchsorted(text, doc)), tokens, int((mine != theirs).sum()))
-                if (doc, it) not in best or best[doc, it][2] < covered:
-                    best[doc, it] = row
-        yield from best.values()
+                yield int(doc[lo]), it, covered, int(at - np.searchsorted(text, doc[lo])), tokens, changed
+
+    def _best(self, lanes: list[Lane], size: int) -> tuple[int, int, int]:
+        """(tokens, first token, changed slots) of the best alignment or sum of near ones."""
+        best = max((x.result() for x in lanes), key=lambda r: (r[0], -r[1]))
+        if len(lanes) == 1 or best[0] == size:
+            return best
+        lanes = sorted(lanes, key=lambda x: x.shift)
+        shifts, spread, done = np.array([x.shift for x in lanes]), max(NEAR, size // 2), 0
+        for k, end in enumerate(np.searchsorted(shifts, shifts + spread, "right").tolist()):
+            if end > max(done, k + 1):
+                got = _summed(lanes[k:end])
+                best = max(best, got, key=lambda r: (r[0], -r[1]))
+            done = max(done, end)
+        return best
+
+
+class Lane:
+    """Units of a document and an item that face each other along one alignment."""
+
+    def __init__(self, index: Index, mine: Reading, theirs: Reading, value, d, b, size):
+        at = np.unique(np.concatenate([np.arange(x, x + s) for x, s in zip(d, size)]))
+        to = at + (b[0] - d[0])
+        self.d, self.d_end = mine.start[at], mine.start[at] + mine.size[at]
+        self.b, self.b_end = theirs.start[to], theirs.start[to] + theirs.size[to]
+        self.slot, self.mine, self.theirs = mine.kind[at] > 0, mine.value[at], theirs.value[to]
+        self.shift = int(self.d[0] - self.b[0])
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return self.d, self.d_end, self.b, self.b_end, self.slot, self.mine, self.theirs
+
+    def result(self) -> tuple[int, int, int]:
+        return _counted(*self.columns())
+
+
+def _counted(d, d_end, b, b_end, slot, mine, theirs) -> tuple[int, int, int]:
+    """(item tokens that agree under one slot table, first token, changed slots)."""
+    agree = np.ones(len(d), bool)
+    agree[slot] = consistent(theirs[slot], mine[slot])
+    return int((b_end - b)[agree].sum()), int(d.min()), int((slot & (mine != theirs)).sum())
+
+
+def _summed(lanes: list[Lane]) -> tuple[int, int, int]:
+    """Near alignments together, the best first; each token of either side counts once."""
+    low_d, low_b = min(int(x.d[0]) for x in lanes), min(int(x.b[0]) for x in lanes)
+    used_d = np.zeros(max(int(x.d_end[-1]) for x in lanes) - low_d, bool)
+    used_b = np.zeros(max(int(x.b_end[-1]) for x in lanes) - low_b, bool)
+    kept = []
+    for x in sorted(lanes, key=lambda x: -x.result()[0]):
+        free = _free(used_d, x.d - low_d, x.d_end - low_d) & _free(used_b, x.b - low_b, x.b_end - low_b)
+        if free.any():
+            columns = [c[free] for c in x.columns()]
+            for used, low, start, end in ((used_d, low_d, *columns[:2]), (used_b, low_b, *columns[2:4])):
+                for s, e in zip((start - low).tolist(), (end - low).tolist()):
+                    used[s:e] = True
+            kept.append(columns)
+    return _counted(*(np.concatenate(c) for c in zip(*kept)))
+
+
+def _free(used: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which spans hold no used token."""
+    total = np.concatenate([[0], np.cumsum(used)])
+    return total[end] == total[start]
 
 
 def consistent(theirs: np.ndarray, mine: np.ndarray) -> np.ndarray:

@@ -60,3 +60,25 @@ def test_odd_inputs(spark):
     assert op.keep_clean(docs(spark), bench(spark, [ITEM])).columns == docs(spark).columns
     twice = op.contaminated(frame(spark, [ITEM, ITEM]), bench(spark, [ITEM, ITEM]))
     assert sorted((r.doc_id, r.item_id) for r in twice.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+FARM = "A farmer has 12 cows and buys some more at the market, then sells 5 of them to a neighbour and keeps all the others for milk during the long winter months that follow"
+
+
+def covered(item, text):
+    return [round(r[2], 2) for r in op.Index([(0, item)]).judge(*op.Reader().tokens([text]), op.SHARE, op.RUN)]
+
+
+def test_longer_values_and_edits_do_not_split_an_item():
+    head = words(30, 7) + ". "
+    assert covered(FARM, head + FARM.replace("sells 5 of", "sells twenty five of")) == [1.0]
+    edited = FARM.replace("then sells", "then she sells").replace("the long winter", "the winter")
+    assert covered(FARM, head + edited)[0] >= 0.75
+    named = "the teacher asked Anna to write a list of all her 12 friends and then gave Anna a book"
+    assert covered(named, head + named.replace("Anna", "Mary Ann")) == [1.0]
+    # a passage that stands once counts once, and far passages are not summed
+    twice = "we walk along the old river road home " * 2 + words(20, 3)
+    assert covered(twice, head + "we walk along the old river road home " + words(20, 5)) == []
+    half = len(FARM.split()) // 2
+    parts = FARM.split()[:half], FARM.split()[half:]
+    assert covered(FARM, " ".join(parts[0]) + " " + words(200, 8) + " " + " ".join(parts[1])) == []
