@@ -5,8 +5,9 @@ with a capital inside a sentence) turn into placeholders that remember their
 value, all other words are lower-cased.  Windows of ``WINDOW`` template tokens
 are hashed and joined with those of the benchmark items, once over single tokens
 and once with each run of numbers or of names as one placeholder, so a value may
-have another number of words.  Along each alignment of a document and an item
-the slots are then checked: a value of the item has to stand for the same value
+have another number of words.  Windows of which placeholders are more than half are
+left out there; a third reading hashes all windows over the values as they
+stand, so verbatim copies are always found.  Along each alignment the slots are then checked: a value of the item has to stand for the same value
 of the document everywhere, so a question with other numbers or names is caught
 and a chance meeting of templates is not.  Near alignments, which inserted and
 dropped words make, are summed under one slot table, each token counted once.  A
@@ -128,7 +129,7 @@ class Reader:
 class Reading:
     """The units of a batch in one reading: tokens, or with runs of numbers and names as one unit."""
 
-    def __init__(self, value, kind, text, merged: np.ndarray | None = None):
+    def __init__(self, value, kind, text, merged: np.ndarray | None = None, literal: bool = False):
         n = len(value)
         self.start = np.arange(n) if merged is None else np.flatnonzero(~merged)
         self.size = np.diff(self.start, append=n)
@@ -137,13 +138,16 @@ class Reading:
         if merged is not None and n:
             inner = np.arange(n) - np.repeat(self.start, self.size)
             self.value = np.add.reduceat(value * (np.uint64(1) + inner.astype(np.uint64) * _FACTORS[0]), self.start)
-        self.template = np.where(self.kind > 0, _PLACEHOLDERS[self.kind], self.value)
+        self.literal = literal
+        self.template = value if literal else np.where(self.kind > 0, _PLACEHOLDERS[self.kind], self.value)
+        #: Units that count as words where windows are chosen.
+        self.plain = np.ones(n, bool) if literal else self.kind == 0
 
 
 def readings(value, kind, first, last, text) -> list[Reading]:
-    """Single tokens, and merged runs; a capital at a sentence's start is a word."""
+    """Single tokens, merged runs, and values as they stand; a capital at a sentence's start is a word."""
     kind = np.where(first & (kind == 3), 0, kind)
-    return [Reading(value, kind, text), Reading(value, kind, text, _runs(kind, last, text))]
+    return [Reading(value, kind, text), Reading(value, kind, text, _runs(kind, last, text)), Reading(value, kind, text, literal=True)]
 
 
 def _runs(kind, last, text) -> np.ndarray:
@@ -153,8 +157,8 @@ def _runs(kind, last, text) -> np.ndarray:
     return out
 
 
-def windows(template: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the windows within one text of which half the tokens at least are words."""
+def windows(template: np.ndarray, word: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the windows within one text of which half the units at least are words."""
     n = len(template) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -164,7 +168,7 @@ def windows(template: np.ndarray, kind: np.ndarray, text: np.ndarray, size: int)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    plain = np.concatenate([[0], np.cumsum(kind == 0)])
+    plain = np.concatenate([[0], np.cumsum(word)])
     at = np.flatnonzero((text[:n] == text[size - 1 :]) & (2 * (plain[size:] - plain[:-size]) >= size))
     return at, h[at]
 
@@ -183,11 +187,11 @@ class Index:
 
     def _table(self, r: Reading, n: int) -> dict:
         units = np.bincount(r.text, minlength=n) if n else np.zeros(0, np.int64)
-        words = np.bincount(r.text, r.kind == 0, minlength=n) if n else units
+        words = np.bincount(r.text, r.plain, minlength=n) if n else units
         short = (units < WINDOW) & (self.size >= LEAST) & (2 * words >= LEAST)
         out = {}
         for size in sorted({WINDOW, *units[short].tolist()}):
-            at, h = windows(r.template, r.kind, r.text, size)
+            at, h = windows(r.template, r.plain, r.text, size)
             if size < WINDOW:
                 whole = (units[r.text[at]] == size) & short[r.text[at]]
                 at, h = at[whole], h[whole]
@@ -205,7 +209,7 @@ class Index:
             for size, (seen, hashes, places) in tables.items():
                 if not len(hashes):
                     continue
-                at, h = windows(r.template, r.kind, r.text, size)
+                at, h = windows(r.template, r.plain, r.text, size)
                 likely = seen[h >> np.uint64(44)]
                 at, h = at[likely], h[likely]
                 lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
@@ -264,19 +268,21 @@ class Lane:
         self.d, self.d_end = mine.start[at], mine.start[at] + mine.size[at]
         self.b, self.b_end = theirs.start[to], theirs.start[to] + theirs.size[to]
         self.slot, self.mine, self.theirs = mine.kind[at] > 0, mine.value[at], theirs.value[to]
+        self.sure = np.full(len(at), mine.literal)
         self.shift = int(self.d[0] - self.b[0])
 
     def columns(self) -> tuple[np.ndarray, ...]:
-        return self.d, self.d_end, self.b, self.b_end, self.slot, self.mine, self.theirs
+        return self.d, self.d_end, self.b, self.b_end, self.slot, self.mine, self.theirs, self.sure
 
     def result(self) -> tuple[int, int, int]:
         return _counted(*self.columns())
 
 
-def _counted(d, d_end, b, b_end, slot, mine, theirs) -> tuple[int, int, int]:
+def _counted(d, d_end, b, b_end, slot, mine, theirs, sure) -> tuple[int, int, int]:
     """(item tokens that agree under one slot table, first token, changed slots)."""
     agree = np.ones(len(d), bool)
     agree[slot] = consistent(theirs[slot], mine[slot])
+    agree |= sure
     return int((b_end - b)[agree].sum()), int(d.min()), int((slot & (mine != theirs)).sum())
 
 

@@ -82,3 +82,15 @@ def test_longer_values_and_edits_do_not_split_an_item():
     half = len(FARM.split()) // 2
     parts = FARM.split()[:half], FARM.split()[half:]
     assert covered(FARM, " ".join(parts[0]) + " " + words(200, 8) + " " + " ".join(parts[1])) == []
+
+
+def test_verbatim_copies_of_slot_heavy_items():
+    for item in (
+        "Compute 12 + 7 * 3 - 45 / 9 + 81 - 6 * 2.",
+        "THE QUICK BROWN FOX JUMPS OVER THE LAZY DOG AND RUNS ALL THE WAY HOME",
+        "Anna Berlin Carla Dublin Edgar",
+        "1 2 4 8 16 32",
+    ):
+        for text in (item, f"Page 4 {item} 13 Others", f"{words(30, 2)}\n{item}\n{words(30, 3)}"):
+            assert covered(item, text) == [1.0], (item, text)
+    assert covered("Compute 12 + 7 * 3 - 45 / 9 + 81 - 6 * 2.", "Compute 11 + 5 * 2 - 44 / 8 + 80 - 5 * 3.") == []
