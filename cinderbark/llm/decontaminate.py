@@ -7,7 +7,10 @@ are hashed and joined with those of the benchmark items, once over single tokens
 and once with each run of numbers or of names as one placeholder, so a value may
 have another number of words.  Windows of which placeholders are more than half are
 left out there; a third reading hashes all windows over the values as they
-stand, so verbatim copies are always found.  Along each alignment the slots are then checked: a value of the item has to stand for the same value
+stand, so verbatim copies are always found.  A fourth reading takes every
+capital for a name, so headings and line breaks before a question do not change
+its windows; a sentence's first word counts there only if it is unchanged or
+follows the other slots.  Along each alignment the slots are then checked: a value of the item has to stand for the same value
 of the document everywhere, so a question with other numbers or names is caught
 and a chance meeting of templates is not.  Near alignments, which inserted and
 dropped words make, are summed under one slot table, each token counted once.  A
@@ -129,7 +132,7 @@ class Reader:
 class Reading:
     """The units of a batch in one reading: tokens, or with runs of numbers and names as one unit."""
 
-    def __init__(self, value, kind, text, merged: np.ndarray | None = None, literal: bool = False):
+    def __init__(self, value, kind, text, merged: np.ndarray | None = None, literal: bool = False, loose: bool = False):
         n = len(value)
         self.start = np.arange(n) if merged is None else np.flatnonzero(~merged)
         self.size = np.diff(self.start, append=n)
@@ -138,16 +141,17 @@ class Reading:
         if merged is not None and n:
             inner = np.arange(n) - np.repeat(self.start, self.size)
             self.value = np.add.reduceat(value * (np.uint64(1) + inner.astype(np.uint64) * _FACTORS[0]), self.start)
-        self.literal = literal
+        self.literal, self.loose = literal, loose
         self.template = value if literal else np.where(self.kind > 0, _PLACEHOLDERS[self.kind], self.value)
         #: Units that count as words where windows are chosen.
         self.plain = np.ones(n, bool) if literal else self.kind == 0
 
 
 def readings(value, kind, first, last, text) -> list[Reading]:
-    """Single tokens, merged runs, and values as they stand; a capital at a sentence's start is a word."""
+    """Single tokens, merged runs and values as they stand, where a capital at a sentence's start is a word; runs where it is a name."""
+    loose = Reading(value, kind, text, _runs(kind, last, text), loose=True)
     kind = np.where(first & (kind == 3), 0, kind)
-    return [Reading(value, kind, text), Reading(value, kind, text, _runs(kind, last, text)), Reading(value, kind, text, literal=True)]
+    return [Reading(value, kind, text), Reading(value, kind, text, _runs(kind, last, text)), Reading(value, kind, text, literal=True), loose]
 
 
 def _runs(kind, last, text) -> np.ndarray:
@@ -238,8 +242,10 @@ class Index:
             lanes = [
                 Lane(self, found[number[x]], self.readings[number[x]], value, d[x:y], b[x:y], size[x:y]) for x, y in zip(bounds, bounds[1:])
             ]
-            best = self._best(lanes, int(self.size[it]))
-            tokens, at, changed = best
+            lanes = [x for x in lanes if not x.astray]
+            if not lanes:
+                continue
+            tokens, at, changed = self._best(lanes, int(self.size[it]))
             covered = tokens / int(self.size[it])
             if covered >= share or tokens >= run:
                 yield int(doc[lo]), it, covered, int(at - np.searchsorted(text, doc[lo])), tokens, changed
@@ -269,21 +275,39 @@ class Lane:
         self.b, self.b_end = theirs.start[to], theirs.start[to] + theirs.size[to]
         self.slot, self.mine, self.theirs = mine.kind[at] > 0, mine.value[at], theirs.value[to]
         self.sure = np.full(len(at), mine.literal)
+        # a capital that only its place may have given: it counts if unchanged, or as other slots say
+        self.open = theirs.loose & index.starts[self.b] & (index.kind[self.b] == 3)
+        for k in np.flatnonzero(self.open):
+            own, n = value[self.d[k] : self.d_end[k]], self.b_end[k] - self.b[k]
+            item = index.value[self.b[k] : self.b_end[k]]
+            self.sure[k] = np.array_equal(own[-n:], item) or np.array_equal(own[:n], item)
+        #: A short item that is matched as a whole needs all such words.
+        self.astray = bool(size[0] < WINDOW and (self.open & ~_agree(*self.columns()[4:])).any())
         self.shift = int(self.d[0] - self.b[0])
 
     def columns(self) -> tuple[np.ndarray, ...]:
-        return self.d, self.d_end, self.b, self.b_end, self.slot, self.mine, self.theirs, self.sure
+        return self.d, self.d_end, self.b, self.b_end, self.slot, self.mine, self.theirs, self.sure, self.open
 
     def result(self) -> tuple[int, int, int]:
         return _counted(*self.columns())
 
 
-def _counted(d, d_end, b, b_end, slot, mine, theirs, sure) -> tuple[int, int, int]:
-    """(item tokens that agree under one slot table, first token, changed slots)."""
-    agree = np.ones(len(d), bool)
-    agree[slot] = consistent(theirs[slot], mine[slot])
-    agree |= sure
-    return int((b_end - b)[agree].sum()), int(d.min()), int((slot & (mine != theirs)).sum())
+def _agree(slot, mine, theirs, sure, open_) -> np.ndarray:
+    """Which units agree under one slot table, to which ``open_`` ones add nothing."""
+    votes = slot & ~open_
+    agree = ~slot
+    agree[votes] = consistent(theirs[votes], mine[votes])
+    if open_.any():
+        held = votes & agree
+        held = set(zip(theirs[held].tolist(), mine[held].tolist()))
+        agree[open_] = [x in held for x in zip(theirs[open_].tolist(), mine[open_].tolist())]
+    return agree | sure
+
+
+def _counted(d, d_end, b, b_end, *rest) -> tuple[int, int, int]:
+    """(item tokens that agree, first token, changed slots)."""
+    slot, mine, theirs, sure, _ = rest
+    return int((b_end - b)[_agree(*rest)].sum()), int(d.min()), int((slot & ~sure & (mine != theirs)).sum())
 
 
 def _summed(lanes: list[Lane]) -> tuple[int, int, int]:

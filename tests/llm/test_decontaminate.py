@@ -94,3 +94,12 @@ def test_verbatim_copies_of_slot_heavy_items():
         for text in (item, f"Page 4 {item} 13 Others", f"{words(30, 2)}\n{item}\n{words(30, 3)}"):
             assert covered(item, text) == [1.0], (item, text)
     assert covered("Compute 12 + 7 * 3 - 45 / 9 + 81 - 6 * 2.", "Compute 11 + 5 * 2 - 44 / 8 + 80 - 5 * 3.") == []
+
+
+def test_the_place_of_a_question_does_not_matter():
+    item = "What is the capital of France?"
+    for head in ("", "Quiz notes\n", "Quiz notes ", "Quiz notes. ", "and then "):
+        assert covered(item, head + item + " Nobody knew.") == [1.0], head
+        assert covered(item, head + "What is the capital of Spain? Nobody knew.") == [1.0], head
+    assert covered("Quiz notes What is the capital of France?", "Quiz notes. What is the capital of Spain?")[0] >= 0.8
+    assert covered(item, "We know that Paris is the capital of Spain.") == []  # another first word
