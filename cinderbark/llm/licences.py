@@ -7,8 +7,10 @@ rules over identifiers name the licence: the sentences of a rule have to follow
 each other in order, at most ``GAP`` sentences apart.  Rules with more sentences
 go first, and a place that one rule has used is not used again.
 
-Sentences come from two readings: single lines, and the unwrapped text split
-after full stops and colons, so wrapped and commented headers are read as well.
+Sentences come from two readings: single lines, and the unwrapped text cut after
+stops, colons and semicolons and at blank or bare comment lines.  Known sentences
+with such marks inside are put together from several pieces, and may begin with
+any line, so wrapped and commented headers are read as well.
 A text without any of the words that every known sentence contains is skipped.
 
 Results.  One row per licence found: doc_id, licence, rule, start, end (code
@@ -19,7 +21,7 @@ none.  Rows are judged by themselves; repeated rows and null ids are carried.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -104,7 +106,7 @@ ANCHORS = ("licen", "copyright", "permission", "warrant", "redistribut", "spdx",
 _PUNCTUATION = re.compile(r"[^\w.+]+")
 _STOPS = re.compile(r"\.(?=\s|\Z)")
 _COMMENT = re.compile(r"^[ \t]*(?:#+|//+|/?\*+/?|;+|--|%+|<!--)?[ \t]*", re.M)
-_END = re.compile(r"[.;:!?]+(?=\s|\Z)|\n[ \t]*\n")
+_END = re.compile(r"[.;:!?]+(?=\s|\Z)|\n[ \t\r]*(?:(?:#+|//+|/?\*+/?|;+|--+|%+|<!--|-->)[ \t\r]*)?(?=\n)")
 
 
 def normalise(sentence: str) -> str:
@@ -139,47 +141,106 @@ def ordered_rules() -> list[tuple[str, str, list[str]]]:
     return sorted(rules, key=lambda r: -len(r[2]))
 
 
-def sentences(text: str):
-    """(start, end, number) in both readings: sentences, and single lines with the number of the sentence they start in."""
-    starts, at = [0], 0
+@lru_cache(maxsize=1)
+def _sorted_known() -> list[str]:
+    return sorted(known())
+
+
+@lru_cache(maxsize=1)
+def _first_words() -> frozenset[str]:
+    return frozenset(x.split()[0] for x in known())
+
+
+def _may_begin(line: str) -> bool:
+    """Whether the first word of a line is one of a known sentence, or left out."""
+    words = _plain(line).split(None, 1)
+    return not words or words[0] in _first_words()
+
+
+def _goes_on(part: str) -> bool:
+    """Whether a known sentence begins with ``part`` and has more words."""
+    table, part = _sorted_known(), part + " "
+    k = bisect_left(table, part)
+    return k < len(table) and table[k].startswith(part)
+
+
+def pieces(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, whether a mark and no blank line ends it) of the text cut after marks and at blank lines."""
+    out, at = [], 0
     for m in _END.finditer(text):
-        yield at, m.start(), len(starts)
+        mark = m[0][0] != "\n"
+        if mark and m[0].strip(";") == "" and not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip():
+            continue  # a comment sign
+        out.append((at, m.start(), mark))
         at = m.end()
-        starts.append(at)
-    yield at, len(text), len(starts)
-    at = 0
-    for line in text.split("\n"):
-        yield at, at + len(line), bisect_right(starts, at)
-        at += len(line) + 1
+    return [*out, (at, len(text), False)]
+
+
+def _plain(text: str) -> str:
+    return normalise(_COMMENT.sub("", text))
 
 
-def identify(text: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, identifier, sentence number) of known sentences, by place."""
+def identify(text: str) -> list[tuple[int, int, str, int, int]]:
+    """(start, end, identifier, first and last piece) of known sentences, by place."""
     low = text.lower()
     if not any(a in low for a in ANCHORS):
         return []
     table, out = known(), {}
     longest = max(map(len, table)) * 3
-    for start, end, number in sentences(text):
-        if 3 <= end - start <= longest:
-            found = table.get(normalise(_COMMENT.sub("", text[start:end])))
+    cut = pieces(text)
+
+    def keep(start: int, end: int, found: str, first: int, last: int) -> None:
+        start += len(text[start:end]) - len(text[start:end].lstrip())
+        out.setdefault((start, found), (start, end, found, first, last))
+
+    for n, (first, end, _) in enumerate(cut):
+        # a sentence begins with a piece or with one of its lines, and may go on over several pieces
+        start = first
+        while start >= 0:
+            line = text.find("\n", start, end)
+            if 3 <= end - start <= longest and _may_begin(text[start : line if line >= 0 else end]):
+                part, k, best = _plain(text[start:end]), n, None
+                while True:
+                    if part in table:
+                        best = cut[k][1], table[part], k
+                    if not (part and cut[k][2] and k + 1 < len(cut) and _goes_on(part) and cut[k + 1][1] - start <= longest):
+                        break
+                    k += 1
+                    more = _plain(text[cut[k][0] : cut[k][1]])
+                    if not more:
+                        break
+                    part = f"{part} {more}".strip()
+                if best:
+                    keep(start, best[0], best[1], n, best[2])
+            start = line + 1 or -1
+    starts, at = [a for a, _, _ in cut], 0
+    for line in text.split("\n"):
+        if 3 <= len(line) <= longest:
+            found = table.get(_plain(line))
             if found:
-                start += len(text[start:end]) - len(text[start:end].lstrip())
-                out.setdefault((start, found), (start, end, found, number))
-    return sorted(out.values())
+                number = bisect_right(starts, at) - 1
+                keep(at, at + len(line), found, number, max(number, bisect_left(starts, at + len(line)) - 1))
+        at += len(line) + 1
+    # what lies within a longer known sentence is part of it
+    found, reach = [], -1
+    for row in sorted(out.values(), key=lambda r: (r[0], -r[1], r[2])):
+        if row[1] > reach or (found and row[:2] == found[-1][:2]):
+            found.append(row)
+            reach = max(reach, row[1])
+    return found
 
 
 def _follow(found: list, used: list[bool], last: int, wanted: str, gap: int) -> int | None:
     """The next unused place of ``wanted`` within ``gap`` sentences of place ``last``."""
     for k in range(last + 1, len(found)):
-        if found[k][3] - found[last][3] > gap + 1:
+        if found[k][3] - found[last][4] > gap + 1:
             return None
         if not used[k] and found[k][2] == wanted:
             return k
     return None
 
 
-def match(found: list[tuple[int, int, str, int]], gap: int = GAP) -> list[tuple[str, str, int, int, int]]:
+def match(found: list[tuple[int, int, str, int, int]], gap: int = GAP) -> list[tuple[str, str, int, int, int]]:
     """(licence, rule, start, end, sentences) of the rules that the identifiers satisfy."""
     used, out = [False] * len(found), []
     places: dict[str, list[int]] = {}

@@ -59,3 +59,44 @@ def test_frames(spark):
     df = spark.createDataFrame([(1, MIT), (1, MIT), (None, "Licensed under CC BY 4.0."), (2, None), (3, "")], "doc_id bigint, text string")
     assert sorted((str(r.doc_id), r.licence) for r in op.scan(df).collect()) == [("1", "MIT"), ("1", "MIT"), ("None", "CC-BY-4.0")]
     assert op.scan(docs(spark)).count() == 0 == op.scan(no_docs(spark)).count()
+
+
+def wrapped(keys, sign, width=60):
+    import textwrap
+
+    lines = ["Copyright 2020 The Authors", ""]
+    for k in keys:
+        lines += [*textwrap.wrap(op.SENTENCES[k], width), ""]
+    return "\n".join(f"{sign} {x}".rstrip() for x in lines[:-1]) + "\n\nimport os\n"
+
+
+@pytest.mark.parametrize("sign", ["", "#", "//", " *", ";;", "--", "%"])
+@pytest.mark.parametrize("licence, ids", op.RULES)
+def test_rules_on_wrapped_and_commented_headers(licence, ids, sign):
+    for width in (40, 60, 75):
+        assert found(wrapped(ids, sign, width)) == [(licence, len(ids))]
+
+
+APACHE = """# Copyright 2020 Foo
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+
+
+def test_usual_headers():
+    assert found(APACHE) == [("Apache-2.0", 3)] and found(MPL) == [("MPL-2.0", 1)]
+    (m,) = op.match(op.identify(APACHE))
+    assert APACHE[m[2] : m[3]].startswith("# Licensed under") and APACHE[m[2] : m[3]].endswith("express or implied")
