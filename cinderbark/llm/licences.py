@@ -100,8 +100,8 @@ RULES = [
     ("LGPL-2.1-or-later", ["lgpl-free"]),
     ("Unlicense", ["unlicense"]),
 ]
-#: Every known sentence contains one of these.
-ANCHORS = ("licen", "copyright", "permission", "warrant", "redistribut", "spdx", "free software", "free and unencumbered", "rights reserved", " under ")
+#: Every known sentence contains one of these; single words, which no line break can part.
+ANCHORS = ("licen", "copyright", "permission", "warrant", "redistribut", "spdx", "unencumbered", "reserved", "under")
 
 _PUNCTUATION = re.compile(r"[^\w.+]+")
 _STOPS = re.compile(r"\.(?=\s|\Z)")

@@ -100,3 +100,18 @@ def test_usual_headers():
     assert found(APACHE) == [("Apache-2.0", 3)] and found(MPL) == [("MPL-2.0", 1)]
     (m,) = op.match(op.identify(APACHE))
     assert APACHE[m[2] : m[3]].startswith("# Licensed under") and APACHE[m[2] : m[3]].endswith("express or implied")
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Released under\nGPLv3.", "GPL-3.0"),
+        ("Distributed under\n the GPL-2.0", "GPL-2.0"),
+        ("# Published\n# under\n# the MIT.", "MIT"),
+        ("This is free and\nunencumbered software released into the public domain.", "Unlicense"),
+        ("// This is free\n// and unencumbered software released into the\n// public domain.", "Unlicense"),
+    ],
+)
+def test_anchors_hold_over_line_breaks(text, want):
+    assert found(text) == [(want, 1)]
+    assert not any(c.isspace() for a in op.ANCHORS for c in a)
