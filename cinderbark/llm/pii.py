@@ -8,7 +8,10 @@ of source characters it stands for:
    digits, look-alike dots, dashes and spaces; invisible characters vanish;
 2. words: spelled digits in a row (``DIGITS_IN_A_ROW`` at least, with ``plus``
    before and ``dot`` between), ``at`` and ``dot`` in brackets, and
-   bare ``name at host dot tld``.
+   bare ``name at host dot tld``, where the dots of a host may be of any kind;
+   ``name at host.tld`` only if the name has signs or digits or follows a word
+   for mail, since else it is plain prose (look at example.com); ``dot`` between
+   four groups of one to three digits.
 
 The same detectors run on the result, and what they find is mapped back.  Such a
 span counts if rewriting touched it and no plain span of its kind overlaps it,
@@ -63,9 +66,30 @@ _ITEM = re.compile(rf"plus|dot|point|{_DIGIT_WORD}|\+", re.I)
 _AT = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*"
 _DOT = r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*"
 _BRACKETS = re.compile(rf"(?<=[A-Za-z0-9])(?:({_AT})|({_DOT}))(?=[A-Za-z0-9])", re.I)
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(\s{1,3}at\s{1,3})[A-Za-z0-9-]{1,63}(?:\s{1,3}dot\s{1,3}[A-Za-z0-9-]{1,63}){1,5}", re.I)
+_ANY_DOT = rf"(?:\s{{1,3}}dot\s{{1,3}}|{_DOT}|\.)"
+_LABEL = r"[A-Za-z0-9-]{1,63}"
+_BARE_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(\s{{1,3}}at\s{{1,3}})(?={_LABEL}{_ANY_DOT}{_LABEL})", re.I)
+_BARE_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_BARE_LABELS = re.compile(rf"{_LABEL}(?:{_ANY_DOT}{_LABEL}){{1,5}}", re.I)
+_DOTS = re.compile(_ANY_DOT, re.I)
+#: What makes ``name at host.tld`` an address where no dot is disguised: signs in the name, or a word for mail before it.
+_ACCOUNT = re.compile(r"[0-9._%+-]")
+_MAIL_WORD = re.compile(r"\be-?mail(?:\s+(?:to|me|is))?[:\s]\s{0,2}\Z|\bmail(?:to|\s+to)?[:\s]\s{0,2}\Z", re.I)
+# Words that stand before ``at`` in prose, also after a word for mail.
+_PROSE = frozenset("us me him her them it you one all address addresses list lists server servers service client is are be was were sent found only here there now available".split())
+_QUAD = re.compile(r"(?<![\w.])(?<!dot\s)(?<!point\s)[0-9]{1,3}(?:(?:\s{1,3}(?:dot|point)\s{1,3}|\.)[0-9]{1,3}){3}(?![\w]|\.[0-9]|\s{1,3}(?:dot|point)\s{1,3}[0-9])", re.I)
+_QUAD_DOT = re.compile(r"\s{1,3}(?:dot|point)\s{1,3}", re.I)
 # Last labels that a bare ``at`` and ``dot`` need; without them it may be plain prose.
-_LAST_LABELS = frozenset("com org net edu gov mil int info biz io co ai app dev me tv eu uk us ca au de fr es it nl be ch at pl se no dk fi pt ie br mx ar cn jp kr in ru".split())
+_LAST_LABELS = frozenset(
+    """com org net edu gov mil int info biz name pro coop aero museum mobi jobs tel travel cat asia post arpa app dev xyz online site tech store shop blog cloud
+    ai io co me tv cc academy agency art bank center club company design digital email events expert global group guru health host hosting link live love
+    ltd media network news one page press world space solutions studio support systems team today tools top university video website wiki work works zone
+    ac ad ae af ag al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cd cf cg ch ci ck cl cm cn cr cu cv cw cx cy cz
+    de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in iq ir is it
+    je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni
+    nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg
+    th tj tk tl tm tn to tr tt tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw""".split()
+)
 _BARE_HOST = re.compile(r"(?<=@)[A-Za-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,63}){1,5}", re.I)
 _BARE_DOT = re.compile(r"\s{1,3}dot\s{1,3}", re.I)
 
@@ -206,15 +230,37 @@ def _brackets(text: str) -> list[tuple[int, int, str]]:
 
 
 def _bare(text: str) -> list[tuple[int, int, str]]:
-    out = []
-    for m in _BARE.finditer(text):
-        if m[0].split()[-1].lower() not in _LAST_LABELS:
+    """Edits of ``name at host`` where a dot is disguised, or where the name is one of an account."""
+    out, done = [], 0
+    for m in _BARE_AT.finditer(text):
+        local = _BARE_LOCAL.search(text[max(0, m.start() - 65) : m.start()])
+        host = _BARE_LABELS.match(text, m.end())
+        if m.start() < done or not local or len(local[0]) > 64 or not host:
+            continue
+        dots = list(_DOTS.finditer(text, *host.span()))
+        ends = [d.start() for d in dots[1:]] + [host.end()]
+        while dots and text[dots[-1].end() : ends[-1]].lower() not in _LAST_LABELS:
+            dots.pop()
+            ends.pop()
+        hidden = [d for d in dots if d[0] != "."]
+        if not dots or not (hidden or _accounts(text, m.start() - len(local[0]), local[0])):
             continue
-        out.append((*m.span(1), "@"))
-        out += [(*d.span(), ".") for d in _BARE_DOT.finditer(text, m.end(1), m.end())]
+        out.append((*m.span(), "@"))
+        out += [(*d.span(), ".") for d in hidden]
+        done = ends[-1]
     return out
 
 
+def _accounts(text: str, start: int, local: str) -> bool:
+    if local.lower() in _PROSE:
+        return False
+    return bool(_ACCOUNT.search(local.strip(".%+-_"))) and any(c.isalpha() for c in local) or bool(_MAIL_WORD.search(text[max(0, start - 16) : start]))
+
+
+def _quads(text: str) -> list[tuple[int, int, str]]:
+    return [(*d.span(), ".") for m in _QUAD.finditer(text) for d in _QUAD_DOT.finditer(text, *m.span())]
+
+
 def _hosts(text: str) -> list[tuple[int, int, str]]:
     return [(*d.span(), ".") for m in _BARE_HOST.finditer(text) if m[0].replace(".", " ").split()[-1].lower() in _LAST_LABELS for d in _BARE_DOT.finditer(text, *m.span())]
 
@@ -226,11 +272,14 @@ def disguised(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, i
         tape.rewrite(_characters(text))
     low = tape.text.lower()
     if "dot" in low or "@" in low or "at" in low:
+        if "at" in low:
+            tape.rewrite(_bare(tape.text))
         if any(c in low for c in ("[", "(", "{", "<")):
             tape.rewrite(_brackets(tape.text))
         if "dot" in low:
-            tape.rewrite(_bare(tape.text))
             tape.rewrite(_hosts(tape.text))
+    if "dot" in low or "point" in low:
+        tape.rewrite(_quads(tape.text))
     tape.rewrite(_digits(tape.text))
     if not tape.edits:
         return []

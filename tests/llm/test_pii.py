@@ -91,3 +91,26 @@ def test_query_columns(spark):
     assert out[2].spans == "" and out[2].base_sha256 == hashlib.sha256(b"").hexdigest() == out[4].base_sha256
     assert out[4].spans == "email:0:20" and out[4].n_disguised == 1 and out[None].n_email == 1
     assert op.detect(docs(spark)).count() == docs(spark).count() and op.detect(no_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("ask bob at example [dot] com ok", "email", "bob at example [dot] com"),
+        ("ask bob at mail.example dot com ok", "email", "bob at mail.example dot com"),
+        ("ask bob at mail dot example.com ok", "email", "bob at mail dot example.com"),
+        ("ask bob at example dot co dot za ok", "email", "bob at example dot co dot za"),
+        ("email bob at example.com ok", "email", "bob at example.com"),
+        ("ask bob.lee at example.com ok", "email", "bob.lee at example.com"),
+        ("bob at example dot com. Then dot", "email", "bob at example dot com"),
+        ("host 192 dot 168 dot 1 dot 10 is up", "ip", "192 dot 168 dot 1 dot 10"),
+        ("host 192 dot 168.1 [dot] 10 is up", "ip", "192 dot 168.1 [dot] 10"),
+    ],
+)
+def test_dots_of_any_kind(text, kind, span):
+    assert [(op.KINDS[k], text[a:b]) for a, k, b in op.disguised(text, op.find(text))] == [(kind, span)]
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "email us at example.com", "arrive at noon.Then go", "300 dot 1 dot 1 dot 1", "1 dot 22 dot 3 dot 4 dot 5", "item 12 at example.com"])
+def test_prose_with_at_and_dot_stays_clean(text):
+    assert op.disguised(text, op.find(text)) == []
