@@ -4,64 +4,23 @@
   cluster names in ``spark.checkpoint.dir``, so a lost executor costs a reread
   and not a recomputation.
 * ``with_row_id`` gives rows an identity that survives retries, for inputs in
-  which ``doc_id`` may repeat or be null.
+  which ``doc_id`` may repeat or be null, and however the input was made.
+* ``heavy_join`` looks keys up without sending all rows of a hot key to one task.
 * ``fresh`` finds column names that the input does not use.
 """
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Deletes ASCII white space, as ``[\x20\x09-\x0D]`` has it.
-SPACES = [" ", "\t", "\n", "\x0b", "\f", "\r"]
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in local tests, a folder of this machine.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="cinderbark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; it goes when the session's process ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    return path
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        with contextlib.suppress(Exception):
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+from cinderbark.session import cut, new_folder
 
+__all__ = ["arrow_fields", "cut", "fresh", "heavy_join", "hot_keys", "new_folder", "strip_spaces", "with_row_id"]
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: each row is computed once."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+#: Deletes ASCII white space, as ``[\x20\x09-\x0D]`` has it.
+SPACES = [" ", "\t", "\n", "\x0b", "\f", "\r"]
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, whatever the case."""
@@ -75,20 +34,57 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _rows_of_files(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is one row of a file: one file table below projections and filters only."""
+    plan = df._jdf.queryExecution().analyzed()
+    while True:
+        name = plan.getClass().getSimpleName()
+        if name not in ("Project", "Filter", "SubqueryAlias", "View", "LogicalRelation") or not plan.deterministic():
+            return False
+        if name == "LogicalRelation":
+            relation = plan.relation()
+            if relation.getClass().getSimpleName() != "HadoopFsRelation" or "ParquetFileFormat" not in relation.fileFormat().getClass().getName():
+                return False
+            paths = relation.location().rootPaths()
+            return paths.distinct().size() == paths.size()
+        plan = plan.children().head()
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """``df`` and a column ``name`` that tells rows apart, in every run alike.
 
-    Rows of Parquet files have their file and their place in it.  Other inputs
-    are written to the shared folder first.
+    Rows of a Parquet table have their file and their place in it, also after
+    projections and filters.  Any other input (joins, unions, generators, Python
+    steps, one file read twice) may hold a file's row more than once; it is
+    written to the shared folder first.
     """
     made = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
-    if "_metadata" not in df.columns:
-        with contextlib.suppress(Exception):
-            out = df.select("*", made.alias(name))
-            out.schema  # noqa: B018  fails here if the input is no table of files
-            return out
+    clash = [c for c in df.columns if c.lower() == "_metadata"]
+    if not clash and _rows_of_files(df):
+        return df.select("*", made.alias(name))
     void = [c for c, kind in df.dtypes if kind == "void"]
-    return cut(df.withColumns({c: F.col(c).cast("string") for c in void}), "rows").select("*", made.alias(name))
+    hidden = dict(zip(clash, fresh(df, "metadata_column")))
+    out = cut(df.withColumns({c: F.col(c).cast("string") for c in void}).withColumnsRenamed(hidden), "rows")
+    return out.select("*", made.alias(name)).withColumnsRenamed({b: a for a, b in hidden.items()})
+
+
+def hot_keys(table: DataFrame, key: str, tracked: int = 1024, least: int = 256) -> DataFrame:
+    """At most ``tracked`` values of ``key`` with some ``least`` rows or more (a Misra-Gries pass), as a written table."""
+    top = table.selectExpr(f"approx_top_k({key}, {tracked}, {4 * tracked}) AS top").select(F.explode("top").alias("t"))
+    return cut(top.filter(F.col("t.count") >= least).select(F.col("t.item").alias(key)), "hot")
+
+
+def heavy_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with the row of ``right`` of the same ``key``, of which ``right`` has one at most.
+
+    The rows of ``right`` of hot keys (at most as many as ``hot_keys`` tracks)
+    are broadcast, so rows of a hot key stay where they are.  All others go by an
+    ordinary shuffle.  Both sides are read more than once and should be tables.
+    """
+    hot = F.broadcast(hot_keys(left, key) if hot is None else hot)
+    large = left.join(F.broadcast(right.join(hot, key, "left_semi")), key)
+    small = left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key)
+    return large.unionByName(small)
 
 
 def strip_spaces(text):

@@ -5,7 +5,9 @@ the digests finds every digest that could hold more than ``1/tracked`` of the
 rows.  Their exact counts and winners are computed with map-side partial
 aggregation, and the verified winners (at most ``candidates`` rows, so of
 bounded size) are broadcast: rows of a heavy group are decided where they lie.
-All other digests, none of which is frequent, go through one ordinary shuffle.
+All other digests go through an ordinary shuffle: their groups are aggregated
+map-side first, and the winners of groups of two and more are joined back, a
+join whose large keys adaptive execution can split.  No task holds a group.
 
 Results
 -------
@@ -13,12 +15,14 @@ Texts are equal if they are identical without ``[\\x20\\x09-\\x0D]``; null
 counts as empty, so null, empty and blank texts are one group.  The row with the
 most code points in its original text stays, then the smallest ``doc_id`` (null
 ids last), then the earliest row; of wholly repeated rows exactly one stays.
-An empty table gives an empty result.  Other columns are ignored.
+Very long texts are hashed whole, as expressions of the scan.  An empty table
+gives an empty result.  Other columns are ignored (``exact_dedup``) or carried
+(``keep_first``), whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderbark.llm.common import cut, fresh, strip_spaces, with_row_id
@@ -60,12 +64,16 @@ def _decide(narrow: DataFrame, tracked: int, candidates: int, least: int) -> Dat
     heavy = cut(heavy_digests(narrow, tracked, candidates, least), "heavy")
     kept = ["row", "doc_id", "text_sha256", F.col("win.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("win.row")).alias("kept")]
     large = narrow.join(F.broadcast(heavy), "text_sha256").select(*kept)
-    w = Window.partitionBy("text_sha256")
-    small = (
-        narrow.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
-        .withColumn("win", F.min(_rank()).over(w))
-        .withColumn("group_size", F.count(F.lit(1)).over(w))
-        .select(*kept)
+    rest = narrow.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
+    groups = rest.groupBy("text_sha256").agg(F.min(_rank()).alias("win"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    own = F.col("win").isNull()
+    small = rest.join(groups, "text_sha256", "left").select(
+        "row",
+        "doc_id",
+        "text_sha256",
+        F.when(own, F.col("doc_id")).otherwise(F.col("win.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (own | (F.col("row") == F.col("win.row"))).alias("kept"),
     )
     return large.unionByName(small)
 
