@@ -12,7 +12,10 @@ is a start from which every chain of l consecutive segments has at most
 ``floor(4 l / 5)`` differences: none in the first segment, at most one in the
 first two, two in three, three in four.  The second segment holds at most one
 difference, so one of its halves is equal too: ten keys of 18 to 20 bits (a
-start, its whole segment, one half of the next) meet every linked pair.
+start, its whole segment, one half of the next) meet every linked pair.  The
+other 44 to 46 bits differ in at most four places, so of five parts of them one
+is equal: with ``LONG_FROM`` fingerprints and more, each key becomes five of 26
+to 29 bits, which meet the same pairs and keep runs of a key short.
 Fingerprints of a key are compared in blocks with whole-array operations; the
 chain condition prunes, then the full Hamming check decides.
 
@@ -20,11 +23,15 @@ Skew.  Exact copies collapse into one fingerprint first (partial aggregation).
 A key with more than ``BLOCK`` distinct fingerprints is dealt out as pairs of
 blocks to many tasks.  No pairs are emitted: each block gives a spanning forest
 of its links, at most one edge for each fingerprint, which is enough for exact
-components.
+components.  Classes of frequent fingerprints and of large components are
+looked up by broadcast (a bounded number, found by a sketch), the others by a
+shuffle.
 
 Results.  Null texts count as empty; all texts without words link.  A null
 ``doc_id`` takes part, and is the smallest only in a component of nulls.
-Repeated rows are documents like others.  Empty tables give empty results.
+Repeated rows are documents like others.  Very long texts are hashed in steps of
+bounded size.  Empty tables give empty results.  Other columns are ignored
+(``near_duplicates``) or carried (``keep_one``), whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderbark.llm.common import arrow_fields, cut, fresh, with_row_id
+from cinderbark.llm.common import arrow_fields, cut, fresh, heavy_join, with_row_id
 from cinderbark.llm.graph import components
 
 DISTANCE = 4
@@ -46,6 +53,8 @@ SEED = 42
 WIDTHS = (13, 13, 13, 13, 12)
 #: Distinct fingerprints of a key that one task compares at once.
 BLOCK = 4096
+#: Distinct fingerprints from which on keys are long: below, a key has a few hundred at most unless they cluster.
+LONG_FROM = 1 << 28
 #: Shingles that are held at once.
 _STEP = 1 << 18
 #: Links that are held before they are merged into the forest.
@@ -98,25 +107,52 @@ def segments(fps: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def keys(fps: np.ndarray) -> list[np.ndarray]:
-    """Ten keys of each fingerprint: start and half, the start's segment, a half of the next."""
+def _parts_of_rest(start: int, half: int) -> list[int]:
+    """Masks of five parts of the bits that key (start, half) doesn't hold."""
+    left, held = 64, []
+    for k, width in enumerate(WIDTHS):
+        left -= width
+        low = width // 2
+        if k == start:
+            held += range(left, left + width)
+        elif k == (start + 1) % 5:
+            held += range(left, left + low) if half else range(left + low, left + width)
+    rest = [bit for bit in range(63, -1, -1) if bit not in held]
+    return [sum(1 << bit for bit in part.tolist()) for part in np.array_split(np.array(rest), 5)]
+
+
+def keys(fps: np.ndarray, long: bool = False) -> list[np.ndarray]:
+    """Ten keys of each fingerprint (start and half, the start's segment, a half of the next), or five longer ones of each.
+
+    The highest four bits hold the start; long keys mix the rest, so a chance meeting of two adds comparisons and no links.
+    """
     segs, out = segments(fps), []
     for i, seg in enumerate(segs):
         after, low = segs[(i + 1) % 5], np.uint64(WIDTHS[(i + 1) % 5] // 2)
         for half, part in enumerate((after >> low, after & np.uint64((1 << int(low)) - 1))):
-            out.append((np.uint64(2 * i + half) << np.uint64(32)) | (seg << np.uint64(16)) | part)
+            short = (np.uint64(i) << np.uint64(60)) | (np.uint64(half) << np.uint64(32)) | (seg << np.uint64(16)) | part
+            if not long:
+                out.append(short)
+                continue
+            for number, mask in enumerate(_parts_of_rest(i, half)):
+                mixed = ((fps & np.uint64(mask)) + np.uint64(number + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                mixed = (mixed ^ (mixed >> np.uint64(29)) ^ short) * np.uint64(0xBF58476D1CE4E5B9)
+                out.append((np.uint64(i) << np.uint64(60)) | (mixed >> np.uint64(4)))
     return out
 
 
 _KEYS = "key bigint, fp bigint"
 
 
-def _keys(batches):
-    fields = arrow_fields(_KEYS)
-    for b in batches:
-        fps = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        out = np.concatenate(keys(fps)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(np.tile(fps, 10).view(np.int64))], schema=fields)
+def _keyer(long: bool):
+    def keyed(batches):
+        fields = arrow_fields(_KEYS)
+        for b in batches:
+            fps = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for key in keys(fps, long):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fps.view(np.int64))], schema=fields)
+
+    return keyed
 
 
 def chain_holds(start: np.ndarray, diff: np.ndarray) -> np.ndarray:
@@ -185,7 +221,7 @@ def _forests(batches):
     def edges(cols):
         key, pair, fp, side = cols
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
-        a, b = forest(np.cumsum(new), fp.view(np.uint64), (key >> 33) % 5, side)
+        a, b = forest(np.cumsum(new), fp.view(np.uint64), key >> 60, side)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=fields)
 
     for batch in batches:
@@ -203,9 +239,9 @@ def _forests(batches):
         yield edges(rest)
 
 
-def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, block: int = BLOCK, long_from: int = LONG_FROM) -> DataFrame:
     """Edges (a, b) that span all links among the column ``fp`` of distinct fingerprints."""
-    keyed = distinct.select("fp").mapInArrow(_keys, _KEYS)
+    keyed = distinct.select("fp").mapInArrow(_keyer(distinct.count() >= long_from), _KEYS)
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     dealt = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -225,22 +261,26 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     return small.unionByName(large).repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "side").mapInArrow(_forests, _EDGES)
 
 
-def _classes(prints: DataFrame, block: int) -> DataFrame:
-    """(fp, component_id) of every fingerprint."""
+def _classes(prints: DataFrame, block: int, long_from: int) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint; only linked ones have to be looked up."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct, block))
-    rooted = cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    rooted = distinct.join(components(links(distinct, block, long_from)), F.col("fp") == F.col("node"), "left").select("fp", "least", "root")
+    rooted = cut(rooted, "roots")
+    linked = rooted.filter("root IS NOT NULL")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    alone = rooted.filter("root IS NULL").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return cut(heavy_join(linked, least, "root").select("fp", "root", "component_id").unionByName(alone), "classes")
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, block: int = BLOCK, long_from: int = LONG_FROM) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     (row,) = fresh(docs, "row_id")
     prints = cut(fingerprints(with_row_id(docs.select("doc_id", "text"), row), row), "prints")
-    return prints.join(_classes(prints, block), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = heavy_join(prints, _classes(prints, block, long_from), "fp")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def keep_one(docs: DataFrame, block: int = BLOCK, long_from: int = LONG_FROM) -> DataFrame:
     """The documents, with all of their columns, without all but one of each component.
 
     The smallest ``doc_id`` stays (null last), then the earliest row.
@@ -249,8 +289,7 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     whole = with_row_id(docs, row)
     prints = cut(fingerprints(whole, row), "prints")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
-    classes = _classes(prints, block).withColumnRenamed("component_id", "class")
-    placed = cut(prints.join(classes, "fp").select("class", "doc_id", "row"), "placed")
-    stay = placed.groupBy("class").agg(F.min(rank).alias("win")).select("win.row")
+    placed = cut(heavy_join(prints, _classes(prints, block, long_from), "fp").select("root", "doc_id", "row"), "placed")
+    stay = placed.groupBy("root").agg(F.min(rank).alias("win")).select("win.row")
     lost = placed.join(stay, "row", "left_anti").select(F.col("row").alias(row))
     return whole.join(lost, row, "left_anti").drop(row)

@@ -57,7 +57,7 @@ def test_links_lose_nothing(spark):
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(x,) for x in signed], "fp bigint")
     want = brute_components(fps)
-    for block in (op.BLOCK, 7):
+    for block, long_from in ((op.BLOCK, op.LONG_FROM), (7, op.LONG_FROM), (op.BLOCK, 0), (7, 0)):
         label = {x: x for x in signed}
 
         def root(x):
@@ -65,7 +65,7 @@ def test_links_lose_nothing(spark):
                 x = label[x]
             return x
 
-        for e in op.links(df, block).collect():
+        for e in op.links(df, block, long_from).collect():
             label[root(e.a)] = root(e.b)
         got = [root(x) for x in signed]
         assert all((got[i] == got[j]) == (want[i] == want[j]) for i, j in combinations(range(len(fps)), 2))
@@ -78,10 +78,19 @@ def test_pigeonring_keeps_every_pair_within_the_distance():
         b = a
         for k in r.sample(range(64), r.randint(0, 4)):
             b ^= 1 << k
-        ka, kb = (op.keys(np.array([x], np.uint64)) for x in (a, b))
-        shared = [i for i in range(10) if ka[i][0] == kb[i][0]]
         diff = np.array([a ^ b], np.uint64)
-        assert any(op.chain_holds(np.array([i // 2]), diff)[0] for i in shared)
+        for long, of in ((False, 2), (True, 10)):
+            ka, kb = (op.keys(np.array([x], np.uint64), long) for x in (a, b))
+            assert [int(x[0]) >> 60 for x in ka] == [i // of for i in range(5 * of)]
+            shared = [i for i in range(5 * of) if ka[i][0] == kb[i][0]]
+            assert any(op.chain_holds(np.array([i // of]), diff)[0] for i in shared)
+
+
+def test_components_of_null_ids_stay_apart(spark):
+    from tests.llm.fixtures import DOCS, words
+
+    table = [(None, words(200, k), "en", "s", 0) for k in (1, 2, 2, 3)]
+    assert op.keep_one(spark.createDataFrame(table, DOCS)).count() == 3
 
 
 def test_keep_one_and_empty(spark):
