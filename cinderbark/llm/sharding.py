@@ -2,22 +2,24 @@
 
 A document's key is 64 bits: ``HEAD`` bits of its text's hash, then bits of the
 hash of its id and row.  Equal texts are neighbours, yet a group of copies larger
-than a shard can still be divided.  To cut the key range into pieces of equal
+than a shard can still be divided.  To cut the key range into shards of equal
 bytes, probes are laid into the interval of every open splitter; each task counts
-the exact bytes and rows below them, the sums (a bounded number a splitter) go to
-the driver, and the intervals shrink to where the wanted byte count lies.  This
-repeats until every splitter is within ``TOLERANCE`` of a shard, or one row is
-left in its interval.  The rows are then exchanged once, by piece, and ordered there.
+the exact bytes and rows below them, the sums (a bounded number a splitter, and
+one splitter less than shards) go to the driver, and the intervals shrink to
+where the wanted byte count lies.  This repeats until every splitter is within
+``TOLERANCE`` of a shard, or one row is left in its interval.  The rows are then
+exchanged once, by ranges of (shard, key) that hold like numbers of rows whatever
+their texts, and ordered there; a shard may cover many ranges, and its slots run
+on from range to range.
 
 Law: ``bytes``.  Shard sizes (UTF-8 bytes of the text plus 8 a row) are within
-the tolerance of each other, or within one document if that is larger.  A shard
-consists of pieces of at most about ``PIECE_ROWS`` rows, so that no task orders
-a whole shard; slots run on from piece to piece without gaps.
-
-Results.  Null texts count as empty, with crc32 0.  Null ids and repeated rows
-are dealt like others; a row's place depends on its file and position.  Empty
-shards are possible when there are fewer rows than shards; an empty table gives
-an empty result.
+the tolerance of each other, or within one document if that is larger.
+
+Results.  Null texts count as empty, with crc32 0; very long texts are measured
+whole.  Null ids, ties and repeated rows are dealt like others; a row's place
+depends on its file and position.  Other columns are ignored, whatever their
+names.  Empty shards are possible when there are fewer rows than shards; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,9 +37,8 @@ PROBES = 32
 HEAD = 40
 #: Bytes that a row has besides its text.
 ROW_BYTES = 8
-PIECE_ROWS = 200_000
-#: Pieces of each shard at least, so that the exchange has enough tasks.
-PIECES = 8
+#: Rows that one task of the exchange orders, about.
+RANGE_ROWS = 500_000
 
 _COUNTS = "bucket int, bytes bigint, number bigint"
 
@@ -67,9 +68,9 @@ def _below(keyed: DataFrame, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.cumsum(size)[:-1], np.cumsum(number)[:-1]
 
 
-def splitters(keyed: DataFrame, pieces: int, total: int, number: int, slack: int, probes: int = PROBES) -> list[int]:
-    """``pieces - 1`` ascending keys with nearly equal bytes between them; a piece starts at its splitter."""
-    want = [total * k // pieces for k in range(1, pieces)]
+def splitters(keyed: DataFrame, shards: int, total: int, number: int, slack: int, probes: int = PROBES) -> list[int]:
+    """``shards - 1`` ascending keys with nearly equal bytes between them; a shard starts at its splitter."""
+    want = [total * k // shards for k in range(1, shards)]
     low, high = [0] * len(want), [1 << 64] * len(want)
     found: list[int | None] = [None] * len(want)
     while True:
@@ -94,21 +95,14 @@ def splitters(keyed: DataFrame, pieces: int, total: int, number: int, slack: int
             low[k], high[k] = max(low[k], lo), min(high[k], hi)
 
 
-_PLACED = "key bigint, doc_id bigint, size bigint, text_crc32 bigint, row struct<f:bigint,r:bigint>, piece int"
-
+def _shard_of(bounds: list[int]):
+    """The shard of column ``key`` (an unsigned number in a long): how many bounds are not above it."""
+    flip = 1 << 63
+    rank = F.col("key").bitwiseXOR(F.lit(-flip))
+    return sum((F.when(rank >= F.lit((x ^ flip) - (1 << 64) if x ^ flip >= flip else x ^ flip), 1).otherwise(0) for x in bounds), F.lit(0)).cast("int")
 
-def _placer(bounds: np.ndarray):
-    def place(batches):
-        fields = arrow_fields(_PLACED)
-        for b in batches:
-            key = b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            piece = np.searchsorted(bounds, key, side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) for f in list(fields)[:-1]] + [pa.array(piece)], schema=fields)
 
-    return place
-
-
-def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, piece_rows: int = PIECE_ROWS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     (row,) = fresh(docs, "row_id")
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
@@ -122,13 +116,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, p
     )
     keyed = cut(keyed, "keyed")
     total, number = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    inner = max(PIECES, -(-number // (shards * piece_rows)))
-    found = splitters(keyed, shards * inner, total, number, max(1, int(tolerance * total / shards / 2))) if number else []
-    bounds = np.array(sorted(found), np.uint64)
-    placed = keyed.mapInArrow(_placer(bounds), _PLACED).withColumn("shard", F.floor(F.col("piece") / inner).cast("int"))
-    counts = placed.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = F.broadcast(counts.select("piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))  # one row a piece
-    order = Window.partitionBy("piece").orderBy("key", "doc_id", "row")
-    ranked = placed.withColumn("rank", F.row_number().over(order).cast("long") - 1)
-    return ranked.join(firsts, "piece").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    found = splitters(keyed, shards, total, number, max(1, int(tolerance * total / shards / 2))) if number else []
+    # a range is a partition of the exchange; its rows' ids are its number and their place there
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-number // range_rows))
+    order = ["shard", F.col("key").bitwiseXOR(F.lit(-(1 << 63))), "doc_id", "row"]
+    placed = keyed.withColumn("shard", _shard_of(sorted(found))).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = cut(placed.select("doc_id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("place")), "placed")
+    part = F.shiftright("place", 33)
+    counts = placed.groupBy("shard", part.alias("part")).agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a range and one a shard's boundary: rows / RANGE_ROWS or so
+    firsts = F.broadcast(counts.select("shard", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("shift")))
+    return placed.withColumn("part", part).join(firsts, ["shard", "part"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") + F.col("shift")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )
