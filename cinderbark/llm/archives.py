@@ -18,7 +18,13 @@ key, and only winners of real groups are joined back.
 
 Results.  Null html is an empty payload; null urls have no target.  Null ids are
 carried; ``refers_to`` is null for a response.  Repeated rows are records like
-others.  An empty table gives an empty result.
+others; of ties for the response the earliest row wins.  A very long page has a
+package of its own.  Other columns are ignored, whatever their names.  An empty
+table gives an empty result.
+
+Packages are opened by address (``file``, ``hdfs``, ``s3``, ``gs``, ``abfs`` and
+the Hadoop spellings of these in ``SCHEMES``); other schemes raise an error that
+names them.
 """
 
 from __future__ import annotations
@@ -43,6 +49,9 @@ WARC_NAME, INDEX_NAME = "archive/data.warc.gz", "indexes/index.cdx"
 #: Level at which single records are compressed, as in any ``.warc.gz``.
 LEVEL = 3
 
+# Hadoop's names of file systems, and those of the Arrow library.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "wasb": "abfs", "wasbs": "abfss"}
+
 # --- ZIP --------------------------------------------------------------------
 
 # Signatures and layouts of the ZIP format.
@@ -133,20 +142,36 @@ def data_start(file, member: Member) -> int:
 # --- WARC -------------------------------------------------------------------
 
 
+#: Pages carry no time of their own.
+_DATE = "2000-01-01T00:00:00Z"
+
+
+def _urn(key: str) -> str:
+    return uuid.uuid5(uuid.NAMESPACE_URL, key).urn
+
+
+def _safe(url: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
 def record(row: dict) -> bytes:
     """One WARC record of a page; a revisit has no payload."""
     payload, kind = row["payload"], row["record_type"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, row['key'])}>", "WARC-Date: 2000-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_urn(row['key'])}>", "WARC-Date: " + _DATE]
     if row["url"]:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", row["url"]))
+        head.append("WARC-Target-URI: " + _safe(row["url"]))
     head.append(f"WARC-Payload-Digest: sha1:{row['payload_digest']}")
     head.append(f"X-Payload-Length: {len(payload)}")
     if row["page_id"] is not None:
         head.append(f"X-Page-Id: {row['page_id']}")
     if kind == "revisit":
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        head.append(f"WARC-Refers-To: <{_urn(row['first_key'])}>")
+        head.append("WARC-Refers-To-Date: " + _DATE)
+        if row["first_url"]:
+            head.append("WARC-Refers-To-Target-URI: " + _safe(row["first_url"]))
         if row["refers_to"] is not None:
             head.append(f"X-Refers-To-Page: {row['refers_to']}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -168,14 +193,23 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, payload
 
 
+def open_system(address: str):
+    """(file system, path) of an address as Hadoop writes it."""
+    from pyarrow import fs
+
+    scheme, mark, rest = address.partition(":")
+    try:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{mark}{rest}")
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"packages can't be kept in {scheme!r}; name a folder on file, hdfs, s3, gs or abfs in spark.checkpoint.dir") from e
+
+
 _MANIFEST = "package string, size bigint, records bigint"
 
 
 def _writer(folder: str, package_bytes: int):
     def write(batches):
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(folder)
+        system, path = open_system(folder)
         records, index, at = [], [], 0
 
         def flush():
@@ -208,10 +242,11 @@ def write(pages: DataFrame, least: int = LEAST_REVISIT, package_bytes: int = PAC
     whole = with_row_id(pages.select("page_id", "url", "html"), row).select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("payload_digest"), F.col(row).alias("row")
     )
-    rank = F.struct(F.col("page_id").isNull().alias("n"), (-F.col("page_id")).alias("p"), "row")
-    narrow = cut(whole.filter(F.octet_length("payload") >= least).select("payload_digest", "page_id", "row"), "payloads")
+    # complements order ids from the largest, and none overflows
+    rank = F.struct(F.col("page_id").isNull().alias("n"), F.bitwise_not("page_id").alias("p"), "row", "url")
+    narrow = cut(whole.filter(F.octet_length("payload") >= least).select("payload_digest", "page_id", "row", "url"), "payloads")
     winners = narrow.groupBy("payload_digest").agg(F.min(rank).alias("win"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    winners = winners.select("payload_digest", F.col("win.row").alias("first"), (-F.col("win.p")).alias("first_page"))
+    winners = winners.select("payload_digest", F.col("win.row").alias("first"), F.bitwise_not("win.p").alias("first_page"), F.col("win.url").alias("first_url"))
     joined = whole.join(winners, "payload_digest", "left")
     revisit = F.col("first").isNotNull() & (F.octet_length("payload") >= least) & (F.col("row") != F.col("first"))
     records = joined.select(
@@ -222,6 +257,8 @@ def write(pages: DataFrame, least: int = LEAST_REVISIT, package_bytes: int = PAC
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first_page")).alias("refers_to"),
         F.concat_ws("/", F.lit("page"), "row.f", "row.r").alias("key"),
+        F.when(revisit, F.concat_ws("/", F.lit("page"), "first.f", "first.r")).alias("first_key"),
+        F.when(revisit, F.col("first_url")).alias("first_url"),
     )
     folder = new_folder(spark, "packages")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -236,12 +273,10 @@ def _reader(with_payload: bool):
     schema = _RECORDS + (", payload binary" if with_payload else "")
 
     def read(batches):
-        from pyarrow import fs
-
         fields = arrow_fields(schema)
         for b in batches:
             for package, size in zip(b.column("package").to_pylist(), b.column("size").to_pylist()):
-                system, path = fs.FileSystem.from_uri(package)
+                system, path = open_system(package)
                 with system.open_input_file(path) as file:
                     found = {m.name: m for m in read_directory(file, size)}
                     index, start = found[INDEX_NAME], data_start(file, found[WARC_NAME])

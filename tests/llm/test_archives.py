@@ -62,3 +62,23 @@ def test_damage_is_seen():
     assert op.parse(raw)[1] == b"abc"
     with pytest.raises(ValueError):
         op.parse(raw.replace(b"abc", b"abd"))
+
+
+def test_smallest_ids_and_references(spark):
+    """The smallest long has no negative; revisits name the response's record and address."""
+    big = "z" * 2000
+    least = -(1 << 63)
+    df = spark.createDataFrame([(least, "http://a/1", big), (least + 1, "http://a/2", big), ((1 << 63) - 1, "http://a/3", big * 2)], PAGES)
+    out = sorted((r.page_id, r.record_type, r.refers_to) for r in op.round_trip(df).collect())
+    assert out == [(least, "revisit", least + 1), (least + 1, "response", None), ((1 << 63) - 1, "response", None)]
+    row = {"payload": b"abc", "record_type": "revisit", "key": "k", "url": "u", "payload_digest": "0", "page_id": 1, "refers_to": 2, "first_key": "first", "first_url": "http://a/ 2"}
+    headers, _ = op.parse(op.record(row))
+    first = op.parse(op.record(row | {"record_type": "response", "key": "first", "payload_digest": hashlib.sha1(b"abc").hexdigest()}))[0]
+    assert headers["WARC-Refers-To"] == first["WARC-Record-ID"] and headers["WARC-Refers-To-Target-URI"] == "http://a/%202"
+
+
+def test_schemes(tmp_path):
+    system, path = op.open_system(f"file://{tmp_path}")
+    assert path == str(tmp_path) and system.type_name == "local"
+    with pytest.raises(ValueError, match="dbfs"):
+        op.open_system("dbfs:/shared/x")
