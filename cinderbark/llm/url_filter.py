@@ -7,28 +7,33 @@ written out as one SQL expression, so scoring a URL is a projection inside the
 scan's stage: no shuffle, no Python.
 
 Features: lengths, path depth, shares of digits and of other signs, entropy of
-the characters, numbers of labels, parameters and hyphens, and how often the
-host's suffix (its last label) was blocked among the training URLs.
+the characters, numbers of labels and of parameters, and how often the host's
+suffix (its last label) was blocked among the training URLs.  No words: what a
+URL says decides nothing, only its form does.
 
 Explicit rules (host, path prefix, verdict) go before the model: a rule fits its
 host and all subdomains if the URL's path starts with the rule's; the longest
 rule wins, among equals the one given first.
 
 Results.  A null URL, or one without ``://``, has empty host and path and meets
-only the model.  Repeated rows are judged alike; an empty table gives an empty
-result; other columns are ignored.
+only the model.  Very long URLs are measured whole.  Repeated rows are judged
+alike; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderbark.llm import boosting
 
+#: Labelled URLs that training reads at most.
 SAMPLE = 5_000
-TREES, DEPTH = 12, 3
+TREES, DEPTH = 20, 3
 BLOCK_FROM = 0.5
 
 #: (verdict, host, path prefix)
@@ -40,20 +45,24 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 
-FEATURES = ["url_length", "host_length", "path_length", "depth", "digit_share", "host_digit_share", "sign_share", "entropy", "labels", "parameters", "hyphens", "query_length", "ad_words", "suffix_blocked"]
+FEATURES = [
+    "url_length", "host_length", "path_length", "depth", "digit_share", "host_digit_share", "sign_share", "entropy", "host_entropy", "labels", "parameters", "query_length", "suffix_blocked",
+]
+
 
-# Words of advertising, tracking and gambling addresses.
-_AD_WORDS = """ad ads adserver advert affiliate banner beacon bet bets bonus casino cheap click clicks deals doubleclick free jackpot loan
-loans pharma pills pixel poker popup porn promo slots spam adult sponsor track tracker tracking viagra win xxx""".split()
+def _rest(url: Column) -> Column:
+    """What follows the first ``://``; empty without one."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
 
 
 def host_of(url: Column) -> Column:
-    rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    host = F.regexp_extract(_rest(url), r"^[^/?#]*", 0)
+    return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -68,34 +77,31 @@ def _entropy(text: Column) -> Column:
     return F.aggregate(shares, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
 
 
-def features(suffixes: dict[str, float], usual: float) -> tuple[list[Column], Column]:
-    """The features of columns ``url``, ``host``, ``path`` and ``words``, none of them null; ``words``."""
+def features(suffixes: dict[str, float], usual: float) -> list[Column]:
+    """The features of columns ``url``, ``host`` and ``path``, none of them null."""
     url, host, path = F.col("url"), F.col("host"), F.col("path")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
-    least = lambda c: F.greatest(c, F.lit(1))
+    share = lambda text, chars: _count(text, chars) / F.greatest(F.length(text), F.lit(1))
     suffix = F.substring_index(host, ".", -1)
     rate = F.lit(usual)
     for name in sorted(suffixes):
         rate = F.when(suffix == name, suffixes[name]).otherwise(rate)
-    words = F.regexp_replace(F.lower(url), r"[^a-z]+", "  ")
     values = [
         F.length(url),
         F.length(host),
         F.length(path),
-        _count(path, r"[^/]"),
-        _count(url, r"[0-9]") / least(F.length(url)),
-        _count(host, r"[0-9]") / least(F.length(host)),
-        _count(url, r"[^A-Za-z0-9/.:]") / least(F.length(url)),
+        _count(path, "/"),
+        share(url, "[0-9]"),
+        share(host, "[0-9]"),
+        share(url, "[^A-Za-z0-9/.:]"),
         F.when(url == "", 0.0).otherwise(_entropy(url)),
+        F.when(host == "", 0.0).otherwise(_entropy(host)),
         _count(host, r"\."),
         F.when(query == "", 0).otherwise(_count(query, "&") + 1),
-        _count(url, "-"),
         F.length(query),
-        F.size(F.expr("regexp_extract_all(concat(' ', words, ' '), ' (%s) ', 1)" % "|".join(_AD_WORDS))),
         rate,
     ]
-    values[3] = F.length(path) - values[3]
-    return [v.cast("double").alias(n) for v, n in zip(values, FEATURES)], words
+    return [v.cast("double").alias(n) for v, n in zip(values, FEATURES)]
 
 
 def parsed(pages: DataFrame, *keep: str) -> DataFrame:
@@ -105,28 +111,54 @@ def parsed(pages: DataFrame, *keep: str) -> DataFrame:
 
 
 def with_features(rows: DataFrame, suffixes: dict[str, float], usual: float) -> DataFrame:
-    values, words = features(suffixes, usual)
-    return rows.withColumn("words", words).select(*rows.columns, *values)
+    return rows.select("*", *features(suffixes, usual))
+
 
+# Suffixes that the made URLs draw from, common ones often and those of throw-away hosts among the blocked ones.
+_COMMON = "com com com com org org net net edu gov info io de fr uk".split()
+_CHEAP = "top xyz click icu buzz cyou rest gq tk".split()
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
-def seed_urls(n: int = 600) -> list[tuple[str, int]]:
-    """Labelled URLs (1: block) made from patterns of reading pages and of advertising pages.
 
-    Both kinds share schemes, prefixes, top levels, areas and tails, so that these alone decide nothing.
+def seed_urls(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
+    """Labelled URLs (1: block) of made forms; equal seeds give equal lists.
+
+    Allowed: home pages, articles, dated posts, manuals, threads and searches.
+    Blocked: trackers with many parameters, hosts of random signs, digit mills,
+    very deep mirrors, long keyword chains and session links.  Each kind overlaps
+    with the others in all features but one or two, a tenth of each side has the
+    other side's suffixes, and words are random letters throughout.
     """
-    prefixes, areas, tops = ["", "www.", "m.", "blog.", "news."], ["en", "de", "fr", "es", "articles", "docs"], ["com", "org", "net", "edu", "info"]
-    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "or", "ti", "st", "ly", "ble"]
-    tails = ["", "/", ".html", "?page=2&ref=x", "#top", "?utm_source=feed"]
+    r = random.Random(seed)
+    word = lambda low=3, high=9: "".join(r.choice("bcdfglmnprstv") + r.choice("aeiou") for _ in range(r.randint(low, high) // 2 + 1))
+    token = lambda k: "".join(r.choice(_ALPHABET + "0123456789") for _ in range(k))
+    number = lambda k: str(r.randrange(10 ** r.randint(1, k)))
+    slug = lambda k: "-".join(word(2, 8) for _ in range(k))
+    tail = lambda: r.choice(["", "", "/", ".html", "#top", f"?page={number(2)}", f"?id={number(4)}&ref={word()}"])
+    good = [
+        lambda: "/" * r.randint(0, 1),
+        lambda: f"/{word()}/{slug(r.randint(2, 6))}{tail()}",
+        lambda: f"/{r.randint(1999, 2025)}/{r.randint(1, 12):02d}/{slug(r.randint(2, 5))}{tail()}",
+        lambda: "/" + "/".join(word() for _ in range(r.randint(2, 4))) + tail(),
+        lambda: f"/{word(2, 3)}/{number(5)}{tail()}",
+        lambda: f"/{word()}?q={word()}+{word()}&page={number(2)}",
+    ]
+    bad = [
+        lambda: f"/{word(2, 4)}?" + "&".join(f"{word(2, 4)}={token(r.randint(1, 8))}" for _ in range(r.randint(4, 12))),
+        lambda: f"/{word()}{tail()}",
+        lambda: "/" + "/".join(number(6) for _ in range(r.randint(2, 4))) + f"/{number(8)}.html",
+        lambda: "/" + "/".join(word(2, 4) for _ in range(r.randint(7, 14))) + tail(),
+        lambda: f"/{slug(r.randint(12, 25))}{tail()}",
+        lambda: f"/{word(2, 4)}/{token(r.randint(24, 48))}",
+    ]
     out = []
     for i in range(n):
-        j, number = i * 7919, (i * 104_729) % (10 ** (1 + i % 5)) + 1
-        prefix, top, area, tail = prefixes[j % 5], tops[(j // 5) % 5], areas[(j // 25) % 6], tails[(j // 150) % 6]
-        word = "".join(syllables[(j // 18**k + i) % 18] for k in range(2 + i % 4))
-        bad, worse = _AD_WORDS[i % len(_AD_WORDS)], _AD_WORDS[(i * 11 + 3) % len(_AD_WORDS)]
-        scheme, plain = f"http{'s' * (j % 2)}://{prefix}", f"{top}/{area}/{number}{tail}"
-        out.append((f"{scheme}{word}{'-' + word[:4] if i % 9 == 0 else ''}.example.{plain}", 0))
-        kinds = [f"{bad}-{worse}.example.{plain}", f"{bad}{number}.{worse}.{plain}", f"{bad}.example.{plain}", f"{word}-{bad}.{top}/r?id={number * 31}&cid={number}&sid={i * 97}&t={number * 13}&u=x{number}"]
-        out.append((scheme + kinds[i % 4], 1))
+        label, kind = i % 2, r.randrange(6)
+        cheap = r.random() < (0.45 if label else 0.04)
+        suffix = r.choice(_CHEAP if cheap else _COMMON)
+        host = f"{token(r.randint(9, 18))}" if label and kind == 1 else word(4, 10) + r.choice(["", "", "-" + word(3, 6)])
+        front = r.choice(["", "www.", "m.", "blog.", f"{word(2, 4)}."])
+        out.append((f"http{'s' * r.randint(0, 1)}://{front}{host}.{suffix}{(bad if label else good)[kind]()}", label))
     return out
 
 
