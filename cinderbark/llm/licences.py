@@ -7,21 +7,25 @@ rules over identifiers name the licence: the sentences of a rule have to follow
 each other in order, at most ``GAP`` sentences apart.  Rules with more sentences
 go first, and a place that one rule has used is not used again.
 
-Sentences come from two readings: single lines, and the unwrapped text cut after
-stops, colons and semicolons and at blank or bare comment lines.  Known sentences
-with such marks inside are put together from several pieces, and may begin with
-any line, so wrapped and commented headers are read as well.
+A sentence begins with a line or after a stop, colon or semicolon, and ends with
+a line or before such a mark; in between it may go on over marks, line breaks,
+comment signs and any white space, but not over a blank or bare comment line.
+Known sentences are a trie of words, which each beginning is walked along, so no
+length matters and a text costs one short look for each of its sentences.
 A text without any of the words that every known sentence contains is skipped.
 
 Results.  One row per licence found: doc_id, licence, rule, start, end (code
 points of the source text, end exclusive), sentences.  Null and empty texts have
-none.  Rows are judged by themselves; repeated rows and null ids are carried.
+none; very long texts are read whole.  Rows are judged by themselves; repeated
+rows and null ids are carried, an empty table gives an empty result, and other
+columns are ignored, whatever their names.  Of known sentences that begin at one
+place the longest counts, and those within it don't.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -103,16 +107,23 @@ RULES = [
 #: Every known sentence contains one of these; single words, which no line break can part.
 ANCHORS = ("licen", "copyright", "permission", "warrant", "redistribut", "spdx", "unencumbered", "reserved", "under")
 
-_PUNCTUATION = re.compile(r"[^\w.+]+")
-_STOPS = re.compile(r"\.(?=\s|\Z)")
-_COMMENT = re.compile(r"^[ \t]*(?:#+|//+|/?\*+/?|;+|--|%+|<!--)?[ \t]*", re.M)
-_END = re.compile(r"[.;:!?]+(?=\s|\Z)|\n[ \t\r]*(?:(?:#+|//+|/?\*+/?|;+|--+|%+|<!--|-->)[ \t\r]*)?(?=\n)")
+_WORD = re.compile(r"[\w.+]+")
+#: Where a sentence may begin: at the text's start, after a line break, or after a mark and white space.
+_BEGIN = re.compile(r"\A|\n|[.;:!?](?=\s)")
+#: What parts two pieces: marks, and blank or bare comment lines, over which no sentence goes on.
+_END = re.compile(r"[.:!?](?=\s|\Z)|(?<=[^\s;]);(?=\s|\Z)|\n[ \t\r]*(?:(?:#+|//+|/?\*+/?|;+|--+|%+|<!--|-->)[ \t\r]*)?(?=\n)")
+_BLANK = re.compile(r"\n[ \t\r]*(?:(?:#+|//+|/?\*+/?|;+|--+|%+|<!--|-->)[ \t\r]*)?\n")
+#: Words that normal forms leave out; ``terms`` only before ``of``.
+_LEFT_OUT = frozenset(["the", "a", "an", "of", ""])
+
+
+def _kept(words: list[str]) -> list[str]:
+    return [w for k, w in enumerate(words) if w not in _LEFT_OUT and not (w == "terms" and words[k + 1 : k + 2] == ["of"])]
 
 
 def normalise(sentence: str) -> str:
     """Lower case, words only, one space between them; articles and closing stops go."""
-    text = _PUNCTUATION.sub(" ", _STOPS.sub(" ", sentence.lower())).strip()
-    return re.sub(r"\b(?:the|a|an|terms of|of)\b ?", "", text).strip()
+    return " ".join(_kept([w.rstrip(".") for w in _WORD.findall(sentence.lower())]))
 
 
 @lru_cache(maxsize=1)
@@ -142,92 +153,79 @@ def ordered_rules() -> list[tuple[str, str, list[str]]]:
 
 
 @lru_cache(maxsize=1)
-def _sorted_known() -> list[str]:
-    return sorted(known())
-
-
-@lru_cache(maxsize=1)
-def _first_words() -> frozenset[str]:
-    return frozenset(x.split()[0] for x in known())
-
-
-def _may_begin(line: str) -> bool:
-    """Whether the first word of a line is one of a known sentence, or left out."""
-    words = _plain(line).split(None, 1)
-    return not words or words[0] in _first_words()
-
-
-def _goes_on(part: str) -> bool:
-    """Whether a known sentence begins with ``part`` and has more words."""
-    table, part = _sorted_known(), part + " "
-    k = bisect_left(table, part)
-    return k < len(table) and table[k].startswith(part)
-
-
-def pieces(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, whether a mark and no blank line ends it) of the text cut after marks and at blank lines."""
-    out, at = [], 0
-    for m in _END.finditer(text):
-        mark = m[0][0] != "\n"
-        if mark and m[0].strip(";") == "" and not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip():
-            continue  # a comment sign
-        out.append((at, m.start(), mark))
-        at = m.end()
-    return [*out, (at, len(text), False)]
-
-
-def _plain(text: str) -> str:
-    return normalise(_COMMENT.sub("", text))
+def trie() -> dict:
+    """Known sentences by their words; the empty key holds the identifier of a sentence that ends there."""
+    root: dict = {}
+    for sentence, identifier in known().items():
+        node = root
+        for word in sentence.split():
+            node = node.setdefault(word, {})
+        node[""] = identifier
+    return root
+
+
+def _closes(text: str, at: int) -> bool:
+    """Whether a sentence may end at ``at``: a line's end or a mark comes next, but for signs and spaces."""
+    while at < len(text) and not text[at].isalnum() and text[at] not in "_+":
+        if text[at] == "\n" or (text[at] in ".;:!?" and (at + 1 == len(text) or text[at + 1].isspace())):
+            return True
+        at += 1
+    return at == len(text)
+
+
+def _walk(low: str, at: int) -> tuple[int, int, str] | None:
+    """(start, end, identifier) of the longest known sentence that begins at the first word from ``at`` on."""
+    node, start, end, best, held = trie(), -1, at, None, None
+    for m in _WORD.finditer(low, at):
+        if start >= 0 and low.find("\n", end, m.start()) >= 0 and _BLANK.search(low, end, m.start()):
+            break
+        if start < 0:
+            start = m.start()
+        word = m[0].rstrip(".")
+        if held:  # "terms" goes only before "of"
+            if word != "of":
+                node = node.get(held)
+            held = None
+            if node is None:
+                break
+        if word == "terms":
+            held = word
+        elif word not in _LEFT_OUT:
+            node = node.get(word)
+            if node is None:
+                break
+        end = m.end()
+        if "" in node and not held and word not in _LEFT_OUT and _closes(low, m.start() + len(word)):
+            best = start, m.start() + len(word), node[""]
+    return best
 
 
 def identify(text: str) -> list[tuple[int, int, str, int, int]]:
     """(start, end, identifier, first and last piece) of known sentences, by place."""
     low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case has more code points
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     if not any(a in low for a in ANCHORS):
         return []
-    table, out = known(), {}
-    longest = max(map(len, table)) * 3
-    cut = pieces(text)
-
-    def keep(start: int, end: int, found: str, first: int, last: int) -> None:
-        start += len(text[start:end]) - len(text[start:end].lstrip())
-        out.setdefault((start, found), (start, end, found, first, last))
-
-    for n, (first, end, _) in enumerate(cut):
-        # a sentence begins with a piece or with one of its lines, and may go on over several pieces
-        start = first
-        while start >= 0:
-            line = text.find("\n", start, end)
-            if 3 <= end - start <= longest and _may_begin(text[start : line if line >= 0 else end]):
-                part, k, best = _plain(text[start:end]), n, None
-                while True:
-                    if part in table:
-                        best = cut[k][1], table[part], k
-                    if not (part and cut[k][2] and k + 1 < len(cut) and _goes_on(part) and cut[k + 1][1] - start <= longest):
-                        break
-                    k += 1
-                    more = _plain(text[cut[k][0] : cut[k][1]])
-                    if not more:
-                        break
-                    part = f"{part} {more}".strip()
-                if best:
-                    keep(start, best[0], best[1], n, best[2])
-            start = line + 1 or -1
-    starts, at = [a for a, _, _ in cut], 0
-    for line in text.split("\n"):
-        if 3 <= len(line) <= longest:
-            found = table.get(_plain(line))
-            if found:
-                number = bisect_right(starts, at) - 1
-                keep(at, at + len(line), found, number, max(number, bisect_left(starts, at + len(line)) - 1))
-        at += len(line) + 1
-    # what lies within a longer known sentence is part of it
-    found, reach = [], -1
-    for row in sorted(out.values(), key=lambda r: (r[0], -r[1], r[2])):
-        if row[1] > reach or (found and row[:2] == found[-1][:2]):
-            found.append(row)
-            reach = max(reach, row[1])
-    return found
+    root, out, reach, seen = trie(), [], -1, -1
+    for m in _BEGIN.finditer(low):
+        if m.end() <= seen:
+            continue
+        first = _WORD.search(low, m.end())
+        if not first:
+            break
+        seen = first.start()
+        word = first[0].rstrip(".")
+        if word not in root and word not in _LEFT_OUT and word != "terms":
+            continue
+        found = _walk(low, first.start())
+        if found and found[1] > reach:
+            out.append(found)
+            reach = found[1]
+    if not out:
+        return []
+    ends = [m.start() for m in _END.finditer(low)]
+    return [(a, b, found, bisect_left(ends, a), bisect_left(ends, b)) for a, b, found in out]
 
 
 def _follow(found: list, used: list[bool], last: int, wanted: str, gap: int) -> int | None:
