@@ -83,6 +83,24 @@ def test_long_texts_are_linear():
     assert time.time() - t < 60
 
 
+def test_texts_full_of_findings_are_linear():
+    import time
+
+    def seconds(k):
+        text = "a@b.co then bob at example dot com, " * k
+        began = time.time()
+        assert len(op.disguised(text, op.find(text))) == k
+        return time.time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 3.5 * seconds(8_000)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.co")], "doc_id bigint, text string").selectExpr("*", "1 AS kinds", "2 AS starts", "3 AS spans", "'x' AS disguised")
+    assert op.digest(op.detect(df)).first().spans == "email:0:6"
+
+
 def test_query_columns(spark):
     table = [(1, "a@b.co 10.0.0.1"), (2, None), (3, ""), (4, "joe [at] b [dot] com"), (None, "x@y.z")]
     out = {r.doc_id: r for r in op.digest(op.detect(spark.createDataFrame(table, "doc_id bigint, text string"))).collect()}
