@@ -5,9 +5,10 @@ with a capital inside a sentence) turn into placeholders that remember their
 value, all other words are lower-cased.  Windows of ``WINDOW`` template tokens
 are hashed and joined with those of the benchmark items, once over single tokens
 and once with each run of numbers or of names as one placeholder, so a value may
-have another number of words.  Windows of which placeholders are more than half are
-left out there; a third reading hashes all windows over the values as they
-stand, so verbatim copies are always found.  A fourth reading takes every
+have another number of words.  Windows with fewer than ``PLAIN`` words (bare lists of
+numbers or names, which any other list would meet) are left out there; a third
+reading hashes all windows over the values as they stand, so verbatim copies are
+always found.  A fourth reading takes every
 capital for a name, so headings and line breaks before a question do not change
 its windows; a sentence's first word counts there only if it is unchanged or
 follows the other slots.  Along each alignment the slots are then checked: a value of the item has to stand for the same value
@@ -19,18 +20,26 @@ document is contaminated by an item if the agreeing tokens cover at least
 
 The benchmark's hashed windows are the build side.  Their size is checked
 before: items are dealt into as many parts as keep each part's text under
-``PART_CHARS``, and each part is joined in a pass of its own, so a benchmark of
-any size works.  Documents are never shuffled and never cut short.
-
-Results.  Null and empty texts, and items of fewer than ``LEAST`` tokens, match
-nothing.  Items of ``LEAST`` to ``WINDOW - 1`` tokens match as a whole.  Repeated
-rows are judged alike; repeated items give a row each.  Null ids are carried.
+``PART_CHARS``.  One part is the usual case; more are built, joined and written
+one after the other, so driver and workers hold one at a time.  Documents are
+never shuffled and never cut short.  A text and items that meet in very many
+windows are judged in groups of items, so at most about ``PAIRS`` meetings are
+held at once.
+
+Results.  Null and empty texts match nothing, nor do items of one or two tokens.
+Items of ``SHORT`` to ``LEAST - 1`` tokens match as a whole with the values as
+they stand, items of ``LEAST`` to ``WINDOW - 1`` also as a whole template.
+Repeated rows are judged alike; repeated items give a row each, and a document
+that several items meet (ties included) gives a row each.  Null ids are carried,
+empty tables give empty results.  Other columns are ignored (``contaminated``) or
+carried (``keep_clean``), whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +47,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderbark.llm.common import arrow_fields
+from cinderbark.llm.common import arrow_fields, cut
 
 WINDOW = 8
+#: Plain words of a window of templates, and tokens of an item that templates match; shorter ones match as they stand.
+PLAIN = 2
 LEAST = 5
+SHORT = 3
 SHARE = 0.6
 RUN = 30
 #: Alignments whose shifts differ by this, or by half the item's tokens, are near.
 NEAR = 8
 #: Characters of benchmark text that one pass holds in each worker.
 PART_CHARS = 16_000_000
+#: Meetings of a document's and an item's windows that are held at once.
+PAIRS = 2_000_000
 REMEMBERED = 700_000
 
 # Words that name a unit of measure or money.
@@ -162,7 +176,7 @@ def _runs(kind, last, text) -> np.ndarray:
 
 
 def windows(template: np.ndarray, word: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the windows within one text of which half the units at least are words."""
+    """(position, hash) of the windows within one text with ``PLAIN`` words at least."""
     n = len(template) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -173,7 +187,7 @@ def windows(template: np.ndarray, word: np.ndarray, text: np.ndarray, size: int)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     plain = np.concatenate([[0], np.cumsum(word)])
-    at = np.flatnonzero((text[:n] == text[size - 1 :]) & (2 * (plain[size:] - plain[:-size]) >= size))
+    at = np.flatnonzero((text[:n] == text[size - 1 :]) & (plain[size:] - plain[:-size] >= PLAIN))
     return at, h[at]
 
 
@@ -192,7 +206,7 @@ class Index:
     def _table(self, r: Reading, n: int) -> dict:
         units = np.bincount(r.text, minlength=n) if n else np.zeros(0, np.int64)
         words = np.bincount(r.text, r.plain, minlength=n) if n else units
-        short = (units < WINDOW) & (self.size >= LEAST) & (2 * words >= LEAST)
+        short = (units < WINDOW) & ((self.size >= SHORT) if r.literal else (self.size >= LEAST) & (2 * words >= LEAST))
         out = {}
         for size in sorted({WINDOW, *units[short].tolist()}):
             at, h = windows(r.template, r.plain, r.text, size)
@@ -206,28 +220,51 @@ class Index:
             out[size] = (seen, h, at[order])
         return out
 
-    def hits(self, found: list[Reading]):
-        """(reading, document unit, item unit, window size) of equal windows."""
+    def meetings(self, found: list[Reading]) -> list[tuple]:
+        """(reading, window size, document units, first and end of the equal windows in the table)."""
         out = []
         for number, (r, tables) in enumerate(zip(found, self.tables)):
-            for size, (seen, hashes, places) in tables.items():
+            for size, (seen, hashes, _) in tables.items():
                 if not len(hashes):
                     continue
                 at, h = windows(r.template, r.plain, r.text, size)
                 likely = seen[h >> np.uint64(44)]
                 at, h = at[likely], h[likely]
                 lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-                n = hi - lo
-                if n.sum():
-                    d = np.repeat(at, n)
-                    k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    out.append((np.full(len(d), number), d, places[k], np.full(len(d), size), r.text[d], self.readings[number].text[places[k]]))
+                if (hi > lo).any():
+                    out.append((number, size, at[hi > lo], lo[hi > lo], hi[hi > lo]))
         return out
 
+    def hits(self, found: list[Reading], met: list[tuple], first: int, end: int):
+        """(reading, document unit, item unit, window size, text, item) of equal windows with items ``first`` to ``end - 1``."""
+        for number, size, at, lo, hi in met:
+            places, item_of = self.tables[number][size][2], self.readings[number].text
+            steps = np.flatnonzero(np.diff(np.cumsum(hi - lo) // PAIRS, prepend=-1))
+            for a, z in zip(steps, [*steps[1:], len(at)]):
+                n = hi[a:z] - lo[a:z]
+                d = np.repeat(at[a:z], n)
+                k = np.repeat(lo[a:z] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                b = places[k]
+                ours = (item_of[b] >= first) & (item_of[b] < end)
+                d, b = d[ours], b[ours]
+                if len(d):
+                    yield np.full(len(d), number), d, b, np.full(len(d), size), found[number].text[d], item_of[b]
+
     def judge(self, value, kind, first, last, text, share: float, run: int):
         """(text, item, covered share, first token, tokens, changed slots) of contaminated texts."""
         found = readings(value, kind, first, last, text)
-        hits = self.hits(found)
+        met = self.meetings(found)
+        total = sum(int((hi - lo).sum()) for *_, lo, hi in met)
+        if total > PAIRS and text[0] != text[-1]:
+            half = int(np.searchsorted(text, (text[0] + text[-1] + 1) // 2))
+            for part in (slice(None, half), slice(half, None)):
+                yield from self.judge(value[part], kind[part], first[part], last[part], text[part], share, run)
+            return
+        groups = np.linspace(0, len(self.ids), min(len(self.ids), total // PAIRS + 1) + 1).astype(int).tolist() if total else []
+        for a, z in zip(groups, groups[1:]):
+            yield from self._judged(found, list(self.hits(found, met, a, z)), value, text, share, run)
+
+    def _judged(self, found: list[Reading], hits: list, value, text, share: float, run: int):
         if not hits:
             return
         number, d, b, size, doc, item = (np.concatenate(x) for x in zip(*hits))
@@ -344,14 +381,14 @@ def consistent(theirs: np.ndarray, mine: np.ndarray) -> np.ndarray:
     return np.array([best[t][1] == m for t, m in zip(theirs.tolist(), mine.tolist())], bool)
 
 
-def item_parts(benchmark: DataFrame, chars: int = PART_CHARS) -> list[Index]:
-    """Indexes of all items, each of at most about ``chars`` characters of text."""
+def item_parts(benchmark: DataFrame, chars: int = PART_CHARS) -> Iterator[tuple[Index, bool]]:
+    """Indexes of all items, each of at most about ``chars`` characters of text, and whether it is the only one."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = total // chars + 1
     for part in range(n):
         rows = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part)
-        yield Index([(r["item_id"], r["text"]) for r in rows.orderBy("item_id", "text").collect()])
+        yield Index([(r["item_id"], r["text"]) for r in rows.orderBy("item_id", "text").collect()]), n == 1
 
 
 def _batches(texts: list[str | None]):
@@ -384,10 +421,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, ru
 
         return find
 
-    parts = [rows.mapInArrow(finder(index), _FOUND) for index in item_parts(benchmark, chars)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = None
+    for index, only in item_parts(benchmark, chars):
+        part = rows.mapInArrow(finder(index), _FOUND)
+        part = part if only else cut(part, "contaminated")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -406,6 +444,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run:
 
         return keep
 
-    for index in item_parts(benchmark, chars):
+    for index, only in item_parts(benchmark, chars):
         docs = docs.mapInArrow(keeper(index), docs.schema)
+        docs = docs if only else cut(docs, "clean")
     return docs

@@ -103,3 +103,47 @@ def test_the_place_of_a_question_does_not_matter():
         assert covered(item, head + "What is the capital of Spain? Nobody knew.") == [1.0], head
     assert covered("Quiz notes What is the capital of France?", "Quiz notes. What is the capital of Spain?")[0] >= 0.8
     assert covered(item, "We know that Paris is the capital of Spain.") == []  # another first word
+
+
+def test_slot_heavy_and_short_items():
+    """Questions of numbers and names are found verbatim and with others; short items verbatim; bare lists of numbers meet none."""
+    items = ["Compute 12 + 35 - 7 * 9 / 3 for Anna and 4 km.", "Who wrote Hamlet?", "5 9 12 40 7 3 8 1 6 2", "Yes"]
+    texts = [
+        f"{words(9, 1)}. Compute 12 + 35 - 7 * 9 / 3 for Anna and 4 km. {words(9, 2)}",
+        f"{words(9, 3)}. Compute 44 + 8 - 21 * 6 / 5 for Boris and 90 km. {words(9, 4)}",
+        f"{words(9, 5)}. who wrote hamlet {words(9, 6)}",
+        "Totals 1 2 3 4 5 6 7 8 9 10 11 12 13 14 and 15 16 17 18 19 20 21 22",
+        "5 9 12 40 7 3 8 1 6 2",
+        "Yes",
+    ]
+    found = {(d, i) for d, i, *_ in op.Index(list(enumerate(items))).judge(*op.Reader().tokens(texts), op.SHARE, op.RUN)}
+    assert found == {(0, 0), (1, 0), (2, 1), (4, 2)}
+
+
+def test_few_meetings_at_once_and_many_parts_change_nothing(spark, monkeypatch):
+    same = words(12, 70)
+    items = [f"{same} {words(10, 80 + k)}" for k in range(40)] + [ITEM]
+    texts = [f"{words(5, k)} {items[k % 41]} {same} {same}" for k in range(60)] + [None, ""]
+    index = op.Index(list(enumerate(items)))
+    want = sorted(index.judge(*op.Reader().tokens(texts), op.SHARE, op.RUN))
+    monkeypatch.setattr(op, "PAIRS", 20)
+    assert sorted(index.judge(*op.Reader().tokens(texts), op.SHARE, op.RUN)) == want and len(want) >= 60
+    monkeypatch.undo()
+    whole = sorted(tuple(r) for r in op.contaminated(frame(spark, texts), bench(spark, items)).collect())
+    assert sorted(tuple(r) for r in op.contaminated(frame(spark, texts), bench(spark, items), chars=1500).collect()) == whole
+    assert op.keep_clean(frame(spark, texts), bench(spark, items), chars=1500).count() == len(texts) - len({r[0] for r in whole})
+
+
+def test_templates_match_brute_force():
+    """Items whose slots are all changed alike are found, those with clashing slots are not; alignment by plain loops."""
+    r = random.Random(8)
+    fill = lambda t, v: " ".join(str(v[w]) if w in v else w for w in t)
+    for k in range(40):
+        template = [r.choice(["A", "B", "C"]) if r.random() < 0.3 else words(1, 1000 + 50 * k + j) for j in range(r.randint(12, 30))]
+        first = {"A": 11, "B": 22, "C": 33}
+        other = {"A": r.randint(100, 200), "B": r.randint(201, 300), "C": r.randint(301, 400)}
+        text = f"{words(6, k)}. {fill(template, other)} {words(6, 500 + k)}"
+        windows = [template[j : j + op.WINDOW] for j in range(len(template) - op.WINDOW + 1)]
+        covered = {j + x for j, w in enumerate(windows) if sum(y not in first for y in w) >= op.PLAIN for x in range(op.WINDOW)}
+        got = list(op.Index([(0, fill(template, first))]).judge(*op.Reader().tokens([text]), op.SHARE, op.RUN))
+        assert bool(got) == (len(covered) / len(template) >= op.SHARE) and (not got or got[0][4] >= len(covered))
