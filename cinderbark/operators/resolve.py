@@ -75,13 +75,19 @@ class Resolved:
             return own
         lists = self.facts.files.select("project_id", F.col("path").alias("target_path"), F.nullif("exports", F.array().cast("array<string>")).alias("listed"))
         wild = cut(wild.join(lists, ["project_id", "target_path"]), "wildcards")
-        have = own
-        for _ in range(3):  # names handed on through wildcard imports of wildcard imports
+        # a chain of wildcard imports passes each file of its project once at most; circles may swap names for ever
+        longest = wild.groupBy("project_id").agg(F.count_distinct("path").alias("n")).agg(F.max("n")).first()[0]
+        have, last = own, None
+        for _ in range(longest):
             source = have.select("project_id", F.col("path").alias("target_path"), "name", "sym")
             seen = wild.join(source, ["project_id", "target_path"]).filter(F.coalesce(F.array_contains("listed", F.col("name")), ~F.col("name").startswith("_")))
-            last = seen.groupBy(*KEYS, "name").agg(F.max_by("sym", "ord").alias("sym"))
-            have = cut(own.unionByName(last.join(own, [*KEYS, "name"], "left_anti")), "visible")
-        return have
+            now = seen.groupBy(*KEYS, "name").agg(F.max_by("sym", "ord").alias("sym"))
+            now = cut(now.join(own, [*KEYS, "name"], "left_anti"), "visible")
+            have = own.unionByName(now)
+            if last is not None and now.join(last, [*KEYS, "name", "sym"], "left_anti").isEmpty():
+                break
+            last = now
+        return cut(have, "visible")
 
     @cached_property
     def import_targets(self) -> DataFrame:
@@ -225,7 +231,11 @@ class Resolved:
         inherited = F.col("class_sym") != F.col("ancestor")
         return rows.filter(~F.col("leaf").isin(V.TRIVIAL_BASES) & ~(inherited & F.col("leaf").isin(V.TYPING_BASES))).select("class_sym").distinct()
 
-    def classes_by_base(self, leaves: list[str]) -> DataFrame:
-        """(class_sym): classes that reach a base of one of these names from outside the project."""
+    def classes_by_base(self, leaves: list[str], renamed: bool = False) -> DataFrame:
+        """(class_sym): classes that reach a base of one of these names from outside the project; ``renamed``: also as imported under another."""
         rows = self.bases.filter("base_sym IS NULL").filter(F.col("leaf").isin(leaves)).select(F.col("class_sym").alias("ancestor"))
+        if renamed:
+            imports = self.owned.filter(F.col("imported").isin(leaves) & (F.col("alias") != F.col("imported"))).select("sym").join(self.followed.select("sym"), "sym", "left_anti")
+            specs = self.facts.each("class_bases").select(*KEYS, sym("class").alias("ancestor"), F.explode("bases").alias("b")).filter("b.kind = 'import'")
+            rows = rows.unionByName(specs.withColumn("sym", sym("b.target")).join(imports, "sym", "left_semi").select("ancestor"))
         return self.ancestors.join(rows.distinct(), "ancestor", "left_semi").select("class_sym").distinct()

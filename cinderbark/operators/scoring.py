@@ -60,14 +60,14 @@ def adjust(found: DataFrame, facts: Facts) -> DataFrame:
     markers = facts.each("dynamic_markers")
     importing = markers.filter(F.col("name").isin("__import__", "import_module") | F.col("name").startswith("importlib."))
     named = markers.groupBy(*KEYS).agg(F.array_distinct(F.flatten(F.collect_list("symbols"))).alias("dynamic"))
-    side = facts.each("imports").filter("imported IS NULL AND NOT wildcard AND contains(module, '.')").select(*KEYS, "line")
+    side = facts.each("imports").filter("imported IS NULL AND NOT wildcard AND contains(module, '.')").select(*KEYS, "line", F.col("alias").alias("symbol"))
     odd = facts.each("decorators").filter(~F.substring_index("name", ".", -1).isin(V.NEUTRAL_DECORATORS)).select(*KEYS, "qualname")
     mentioned = facts.each("lambda_mentions").select(*KEYS, F.col("value").alias("qualname"))
     probes = facts.each("import_probes").select(*KEYS, F.col("value").alias("symbol"))
     x = flag(found, ["project_id"], importing, "any_dynamic")
     x = flag(x, KEYS, importing, "file_dynamic")
     x = flag(x, [*KEYS, "symbol"], probes, "probe")
-    x = flag(x, [*KEYS, "line"], side, "side")
+    x = flag(x, [*KEYS, "line", "symbol"], side, "side")
     x = flag(x, [*KEYS, "qualname"], odd, "odd")
     x = flag(x, [*KEYS, "qualname"], mentioned, "in_lambda")
     x = x.join(named, KEYS, "left")
@@ -109,7 +109,7 @@ def caps(found: DataFrame, x: Reached, boot_sources: DataFrame | None = None) ->
     migration = (rule == "UNUSED_CLASS") & (symbol == "Migration") & (parent == "migrations") & (name != "__init__.py")
     settings = F.lower(F.regexp_replace(name, r"\.py$", "")).contains("settings") | ((parent == "settings") & name.endswith(".py"))
     out = flag(out, KEYS, settings_files(found, boot_sources), "named_settings") if boot_sources is not None else out.withColumn("named_settings", F.lit(False))
-    configs = x.r.classes_by_base(["AppConfig"]).select(F.col("class_sym").alias("sym"))
+    configs = x.r.classes_by_base(["AppConfig"], renamed=True).select(F.col("class_sym").alias("sym"))
     out = flag(out.withColumn("sym", sym("qualname")), ["sym"], configs, "app_config").drop("sym")
     urls = (name == "urls.py") & symbol.isin(V.URL_SYMBOLS)
     sphinx = (rule == "UNUSED_FUNCTION") & (symbol == "setup") & (name == "conf.py") & F.arrays_overlap(modules.folders(path), F.array(F.lit("docs"), F.lit("doc")))

@@ -6,13 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderbark.operators import present, scoring, suppress
-from cinderbark.plans import corpus
+from cinderbark.plans import cases, corpus, views
 from cinderbark.plans.config import Allow, Config
 from cinderbark.plans.scan import Scan
 from cinderbark.sources import reports
 
 _scans: dict[tuple, Scan] = {}
 
+#: Cases of single files, of projects under the usual settings, and of projects under ``TUNED``.
+CASES = {name: cases.read(name) for name in ("files", "projects", "tuned")}
+TUNED = Config(
+    report_framework_conventions=True,
+    ignore_bases=("Kept",),
+    framework_decorators=("handles",),
+    fold={"MODE": "prod", "LEVEL": "3", "DEBUG": "false"},
+    report_unused_ignores=True,
+    require_ignore_reason=True,
+    allow=(Allow("kept_*", "unused-function"),),
+    entry_patterns=("**/run_*.py", "manage.py"),
+    frameworks=("django",),
+)
+
 
 def scan_of(spark: SparkSession, sf_dir: str, name: str) -> Scan:
     """The scan of a corpus; queries of one session share it, as calls of a service share a cached scan."""
@@ -21,6 +35,10 @@ def scan_of(spark: SparkSession, sf_dir: str, name: str) -> Scan:
         if name == "manifest":
             sources, manifests, dists = corpus.manifest(spark, sf_dir)
             _scans[key] = Scan(sources, Config(), manifests, dists)
+        elif name in CASES:
+            rows = cases.sources(spark, sf_dir, CASES[name], projects=name != "files")
+            named = F.element_at(F.split("path", "/"), -1).isin(cases.MANIFESTS)
+            _scans[key] = Scan(rows.filter(~named), TUNED if name == "tuned" else Config(), None if name == "files" else rows.filter(named))
         else:
             config = {"suppress": Config(report_unused_ignores=True)}.get(name, Config())
             _scans[key] = Scan(getattr(corpus, name)(spark, sf_dir), config)
@@ -239,6 +257,20 @@ QUERIES = {
 )}
 
 
+
+def by_case(kind: str, case: cases.Case):
+    """The rows that one planted case shows, over all nations."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scan = scan_of(spark, sf_dir, kind)
+        return views.of_files(scan.facts, case.view, case.name) if kind == "files" else views.of_projects(scan, case.view, case.name)
+
+    return run
+
+
+QUERIES |= {c.name: by_case(kind, c) for kind, found in CASES.items() for c in found}
+
+
 # --- SQL ------------------------------------------------------------------------
 
 
@@ -345,3 +377,4 @@ COUNT(*) FILTER (rule = 'UNREACHABLE_CODE') AS unreachable_code, COUNT(*) FILTER
     "k05_github": _SUPPLY + "SELECT '::' || CASE WHEN confidence >= 90 THEN 'error' ELSE 'warning' END || ' file=' || path || ',line=' || line || ',title=' || rule || '::' || message AS text FROM found",
     "k07_baseline_append": f"SELECT 'UNUSED_IMPORT:' || path || ':json' AS fingerprint, CASE WHEN path < 'tools_000100.py' THEN 'old' ELSE 'new' END AS reason FROM {_TOOLS} WHERE p_size % 3 <> 0",
 }
+ORACLE_SQL |= {c.name: cases.oracle(c, projects=kind != "files") for kind, found in CASES.items() for c in found}
