@@ -65,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.format == "json":
         out = reports.report(rows, scan.errors, scan.facts.table.count())
     elif a.format == "sarif":
-        out = reports.sarif(rows)
+        out = reports.sarif(rows).select("text")
     else:
         out = FORMATS[a.format](rows)
     if a.output:

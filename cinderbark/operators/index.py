@@ -35,7 +35,7 @@ def index(sources: DataFrame, config: Config, index_source=backend) -> DataFrame
                     if source is None:
                         raise SyntaxError("the file cannot be decoded")
                     row |= index_source(source, settings)
-                except (SyntaxError, ValueError, RecursionError) as e:
+                except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
                     row["error"] = {"line": getattr(e, "lineno", None) or 1, "column": getattr(e, "offset", None) or 1, "message": getattr(e, "msg", None) or str(e)}
                     row["words"] = sorted({w.lower() for w in re.findall(r"\w+", source)}) if source is not None else None
                 rows.append(row)

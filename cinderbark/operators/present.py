@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderbark.functions import vocabulary as V
@@ -115,8 +115,12 @@ def mentions(found: DataFrame, sources: DataFrame, sample: int = 5) -> DataFrame
     words = lines.select("project_id", "at", "n", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}_][\p{L}\p{N}_]*)"), F.lit(1)))).alias("word"))
     hits = wanted.join(words, ["project_id", "word"]).filter("NOT (at = path AND n = line)")
     shown = F.struct("at", "n", F.concat_ws(":", "at", "n", F.concat(F.lit(" "), F.trim("text"))).alias("text"))
-    least = hits.withColumn("shown", shown).groupBy("project_id", "fingerprint").agg(F.count(F.lit(1)).alias("mentions"), F.slice(F.array_sort(F.collect_list("shown")), 1, sample).alias("s"))
-    out = found.select("project_id", "fingerprint").join(least, ["project_id", "fingerprint"], "left")
+    keys = ["project_id", "fingerprint"]
+    # only the first few of each finding leave a task (a window with a limit), however often its name is spelt
+    first = hits.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "n"))).filter(F.col("place") <= sample)
+    first = first.groupBy(*keys).agg(F.array_sort(F.collect_list(shown)).alias("s"))
+    counts = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("mentions"))
+    out = found.select(*keys).join(counts, keys, "left").join(first, keys, "left")
     return out.select("project_id", "fingerprint", F.coalesce("mentions", F.lit(0)).alias("mentions"), F.coalesce(F.transform("s", lambda x: x["text"]), F.array().cast("array<string>")).alias("sample"))
 
 

@@ -7,12 +7,14 @@ import io
 import tokenize
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderbark.functions import vocabulary as V
 from cinderbark.functions.globs import any_regex, rules_of
 from cinderbark.plans.config import Config
+from cinderbark.session import cut
 
 
 def decode(raw: bytes) -> str:
@@ -31,7 +33,7 @@ def _listed(spark: SparkSession, root: str) -> list[tuple[str, str, int]]:
     while found.hasNext():
         f = found.next()
         path = f.getPath().toUri().getPath().removeprefix(base)
-        if path.endswith(".gitignore") and path.rpartition("/")[2] == ".gitignore":
+        if path.rpartition("/")[2] == ".gitignore" or path == ".git/info/exclude":
             stream = fs.open(f.getPath())
             text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
             stream.close()
@@ -61,8 +63,41 @@ def read_tree(spark: SparkSession, root: str, project_id: str = "") -> DataFrame
     return read.join(rest.select("path"), "path", "left_anti").select(rest.columns).unionByName(rest)
 
 
+_RULES = "project_id string, folder string, source string, depth int, number int, regex string, negated boolean"
+
+
+def _ignore_rules(ignores: DataFrame) -> DataFrame:
+    """One row for each line of the ignore files; those of the repository's own exclude file come after the root's."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for project, path, text in zip(*(b.column(n).to_pylist() for n in ("project_id", "path", "text"))):
+                own = path == ".git/info/exclude"
+                folder = "" if own else path.rpartition("/")[0]
+                depth = 1 if own else 2 * (folder.count("/") + 1) if folder else 0
+                rows += [(project, folder, path, depth, k, regex, negated) for k, (regex, negated) in enumerate(rules_of(folder, text or ""))]
+            fields = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, fields)], names=[x.split()[0] for x in _RULES.split(", ")])
+
+    return ignores.select("project_id", "path", "text").mapInArrow(run, _RULES)
+
+
+def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(project_id, path) that the rules drop: of a project's rules for a path's folders the last that matches wins."""
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    at = paths.select("project_id", "path").distinct().withColumn("folder", F.explode(folders))
+    met = at.join(rules, ["project_id", "folder"]).filter(F.expr("path RLIKE regex"))
+    last = met.groupBy("project_id", "path").agg(F.max_by("negated", F.struct("depth", "source", "number")).alias("negated"))
+    return last.filter("NOT negated").select("project_id", "path")
+
+
 def project_files(files: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(sources, manifests) of a tree: without excluded and git-ignored paths, decoded."""
+    """(sources, manifests) of trees: without excluded and git-ignored paths, decoded.
+
+    Each project's ignore files rule its own paths; one that lies in an ignored folder is not read.
+    """
 
     @F.pandas_udf("string")
     def text(content: pd.Series) -> pd.Series:
@@ -75,14 +110,11 @@ def project_files(files: DataFrame, config: Config) -> tuple[DataFrame, DataFram
         return content.map(one)
 
     kept = files.filter(~F.col("path").rlike(any_regex(config.exclude)))
-    ignores = kept.filter(F.col("path").rlike(r"(^|/)\.gitignore$")).select("path", F.col("content").cast("string").alias("text"))
-    rules = []
-    for r in sorted(ignores.collect(), key=lambda r: (r["path"].count("/"), r["path"])):  # one row an ignore file
-        rules += rules_of(r["path"].rpartition("/")[0], r["text"])
-    dropped = F.lit(False)
-    for regex, negated in rules:  # the last rule that matches wins
-        dropped = F.when(F.col("path").rlike(regex), F.lit(not negated)).otherwise(dropped)
-    kept = kept.filter(~dropped)
+    lists = kept.filter(F.col("path").rlike(r"(^|/)\.gitignore$")).unionByName(files.filter(F.col("path") == ".git/info/exclude")).dropDuplicates(["project_id", "path"])
+    rules = _ignore_rules(lists.select("project_id", "path", F.col("content").cast("string").alias("text")))
+    unread = ignored(lists, rules).select("project_id", F.col("path").alias("source"))
+    rules = cut(rules.join(unread, ["project_id", "source"], "left_anti"), "ignore_rules")
+    kept = kept.join(ignored(kept, rules), ["project_id", "path"], "left_anti")
     name = F.element_at(F.split("path", "/"), -1)
     skipped = F.exists(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), lambda d: d.isin(V.MANIFEST_SKIP_DIRS) | d.endswith(".egg-info"))
     columns = ["project_id", "path", text("content").alias("source"), "length", "modified"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderbark.functions.vocabulary import REASONS
@@ -91,10 +91,15 @@ def summary(found: DataFrame, shown: int | None = None) -> DataFrame:
     return c.select(F.to_json(F.struct(F.lit("summary").alias("type"), "total", count.alias("shown"), (count < F.col("total")).alias("truncated"), "by_rule", "by_band", fixable)).alias("text"))
 
 
+def _in_order(value: Column) -> Column:
+    """An aggregate: values by column ``place``, whatever order partial results come in."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("place", value.alias("value")))), lambda x: x["value"])
+
+
 def report(found: DataFrame, errors: DataFrame, files_scanned: int, sort: str = "path", shown: int | None = None) -> DataFrame:
     """One row ``text``: the whole report as one JSON document; for reports that a reader can hold."""
-    rows = found.orderBy(*order(sort)) if shown is None else found.orderBy(*order(sort)).limit(shown)
-    body = rows.agg(F.collect_list(row_struct(False, False)).alias("findings"))
+    rows = found if shown is None else found.orderBy(*order(sort)).limit(shown)
+    body = rows.withColumn("place", F.row_number().over(Window.orderBy(*order(sort)))).agg(_in_order(row_struct(False, False)).alias("findings"))
     bad = errors.agg(F.collect_list(F.struct("path", "line", "column", "message")).alias("errors"))
     c = census(found).select(F.struct("total", F.lit(shown).alias("limit"), "by_rule", "by_band", F.struct("safe", "unsafe").alias("fixable")).alias("summary"))
     one = c.crossJoin(body).crossJoin(bad)  # three single rows
@@ -116,7 +121,7 @@ def with_utf16(found: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def sarif(found: DataFrame, tool: str = "cinderbark") -> DataFrame:
-    """One row ``text``: a SARIF 2.1.0 log."""
+    """(project_id, text): a SARIF 2.1.0 log for each project that has findings."""
     place = F.struct(
         F.struct(
             F.struct(F.col("path").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"),
@@ -134,9 +139,10 @@ def sarif(found: DataFrame, tool: str = "cinderbark") -> DataFrame:
     )
     text = F.create_map(*[F.lit(v) for kv in RULE_TEXT.items() for v in kv])
     rules = F.transform(F.array_sort(F.collect_set("rule")), lambda r: F.struct(r.alias("id"), F.struct(r.alias("text")).alias("shortDescription"), F.struct(F.coalesce(F.try_element_at(text, r), r).alias("text")).alias("fullDescription")))
-    run = found.orderBy(*order("path")).agg(rules.alias("rules"), F.collect_list(result).alias("results"))
+    placed = found.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy(*order("path"))))
+    run = placed.groupBy("project_id").agg(rules.alias("rules"), _in_order(result).alias("results"))
     driver = F.struct(F.struct(F.lit(tool).alias("name"), "rules").alias("driver"))
-    return run.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.array(F.struct(driver.alias("tool"), "results")).alias("runs"))).alias("text"))
+    return run.select("project_id", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.array(F.struct(driver.alias("tool"), "results")).alias("runs"))).alias("text"))
 
 
 # --- baseline -------------------------------------------------------------------

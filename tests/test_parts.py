@@ -113,3 +113,37 @@ def test_stream_of_changes(spark, tmp_path):
         q = watch(spark.readStream.schema(CHANGES).parquet(inbox), store, Config(), f"{tmp_path}/cp", lambda facts, n: seen.append(n))
         assert q.awaitTermination(120)
     assert [(r.path, r.bindings[0].name) for r in store.read().collect()] == [("a.py", "x3")] and len(seen) == 2
+
+
+def test_ignore_rules_of_one_project_leave_others_alone(spark):
+    from pyspark.sql import functions as F
+
+    from cinderbark.plans.config import Config
+    from cinderbark.sources.files import project_files
+
+    files = {
+        "one": {".gitignore": "gen/\n*.tmp.py\n!keep.tmp.py\nskip/\n", "gen/a.py": "", "b.tmp.py": "", "keep.tmp.py": "", "skip/.gitignore": "!c.py\n", "skip/c.py": "", "main.py": "", "sub/.gitignore": "/d.py\n!e.tmp.py", "sub/d.py": "", "sub/x/d.py": "", "sub/e.tmp.py": "", ".git/info/exclude": "own_*.py\n", "own_x.py": "", "z.py": ""},
+        "two": {"gen/a.py": "", "b.tmp.py": "", "own_x.py": "", "sub/.gitignore": "*.py", "sub/q.py": "", "z.py": ""},
+    }
+    rows = [(p, path, text.encode(), len(text), None) for p, tree in files.items() for path, text in tree.items()]
+    table = spark.createDataFrame(rows, "project_id string, path string, content binary, length long, modified timestamp")
+    kept, _ = project_files(table, Config())
+    found = {(r.project_id, r.path) for r in kept.collect()}
+    assert {p for k, p in found if k == "one"} == {"keep.tmp.py", "main.py", "sub/x/d.py", "sub/e.tmp.py", "z.py"}
+    assert {p for k, p in found if k == "two"} == {"gen/a.py", "b.tmp.py", "own_x.py", "z.py"}
+    assert kept.filter(F.col("source").isNull()).count() == 0
+
+
+def test_planted_cases_are_whole():
+    from cinderbark.plans.queries import CASES, ORACLE_SQL, QUERIES
+
+    names = [c.name for found in CASES.values() for c in found]
+    assert len(names) == len(set(names)) and set(names) <= set(QUERIES) and set(names) <= set(ORACLE_SQL)
+    assert all(c.rows.strip() and c.source.strip() for found in CASES.values() for c in found)
+
+
+def test_comment_parsers():
+    from cinderbark.functions.comments import _noqa, _reason
+
+    assert [_noqa(x) for x in ("# x", "# noqa", "# NOQA: F401", "# noqa:E1, f401 more", "# noqa something", "# noqa: not a code")] == [None, set(), {"F401"}, {"E1", "F401"}, set(), set()]
+    assert [_reason(x) for x in ("", " -- why ", ' reason = "a -- b"', " reason='c'", " reason=", "reason -- d")] == [None, "why", "a -- b", "c", None, "d"]
