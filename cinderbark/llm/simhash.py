@@ -27,6 +27,15 @@ components.  Classes of frequent fingerprints and of large components are
 looked up by broadcast (a bounded number, found by a sketch), the others by a
 shuffle.
 
+Similar documents.  ``keep_one_similar`` links by similarity, not by bits: two
+texts are near if the Jaccard similarity of their five-word shingles is
+``SIMILARITY`` or more.  Candidates come from ``SKETCHES`` fingerprints over
+two-word shingles, which one changed word moves less than longer ones; a pair
+within ``DISTANCE`` bits in any of them is a candidate.  The same keys, chains
+and blocks find candidates; each block gives a spanning forest of real
+candidate pairs, and each pair of it is verified on whole texts before
+components are formed, so no text goes without a near one that stays.
+
 Results.  Null texts count as empty; all texts without words link.  A null
 ``doc_id`` takes part, and is the smallest only in a component of nulls.
 Repeated rows are documents like others.  Very long texts are hashed in steps of
@@ -80,6 +89,42 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
+#: Of ``keep_one_similar``: words of a shingle and the similarity that links, words of a sketch's shingle, number of sketches.
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+SKETCH_WORDS = 2
+SKETCHES = 8
+_MIXERS = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SKETCHES)]
+
+
+def _shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 of each run of ``size`` words; of all words where there are fewer."""
+    n = max(1, len(words) - size + 1)
+    joined, lengths = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    first, last = (ends - lengths)[:n].tolist(), ends[-n:].tolist()
+    raw = b"".join(xxhash.xxh64_digest(joined[a:b], SEED) for a, b in zip(first, last))
+    return np.frombuffer(raw, ">u8").astype(np.uint64)
+
+
+def sketches(text: str | None) -> tuple[int, list[int]]:
+    """(hash of all words, fingerprints of the two-word shingles under different mixings), as signed numbers."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, [0] * SKETCHES
+    base, out = _shingle_hashes(words, SKETCH_WORDS), []
+    for factor in _MIXERS:
+        votes = np.zeros(64, np.int64)
+        for at in range(0, len(base), _STEP):
+            h = base[at : at + _STEP]
+            if factor != 1:
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(factor)
+                h ^= h >> np.uint64(29)
+            votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(votes * 2 > len(base), bitorder="little").view(np.int64)[0]))
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED) - (1 << 63), out
+
+
 _PRINTS = "row struct<f:bigint,r:bigint>, doc_id bigint, fp bigint"
 
 
@@ -166,12 +211,17 @@ def chain_holds(start: np.ndarray, diff: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (the smallest index of a component) after linking a[i] and b[i]."""
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray, used: list | None = None) -> np.ndarray:
+    """Labels (the smallest index of a component) after linking a[i] and b[i]; ``used`` collects pairs that joined components."""
     while len(a):
         x, y = label[a], label[b]
+        low, high = np.minimum(x, y), np.maximum(x, y)
         new = label.copy()
-        np.minimum.at(new, np.maximum(x, y), np.minimum(x, y))
+        np.minimum.at(new, high, low)
+        if used is not None:
+            won = np.flatnonzero((high != low) & (new[high] == low))
+            won = won[np.unique(high[won], return_index=True)[1]]
+            used.append((a[won], b[won]))
         while not np.array_equal(deep := new[new], new):
             new = deep
         label, open_ = new, new[a] != new[b]
@@ -179,12 +229,13 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def forest(key: np.ndarray, fps: np.ndarray, start: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span the links within each run of equal ``key``.
+def forest(key: np.ndarray, fps: np.ndarray, start: np.ndarray, side: np.ndarray, real: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that span the links within each run of equal ``key``; ``real`` ones are links themselves.
 
     ``side``: 0 for rows that meet all of their run, else 1 or 2 for rows that
     meet those of the other side only.
     """
+    used: list = []
     n = len(key)
     label = np.arange(n)
     at, shift, held, count = np.arange(n), 0, [], 0
@@ -204,25 +255,28 @@ def forest(key: np.ndarray, fps: np.ndarray, start: np.ndarray, side: np.ndarray
             held.append((a, b))
             count += len(a)
         if count > _LINKS or (held and not len(at)):
-            label = _merge(label, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+            label = _merge(label, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), used if real else None)
             held, count = [], 0
-    joined = label != np.arange(n)
-    return fps[joined], fps[label[joined]]
+    if real:
+        return tuple(np.concatenate([x[k] for x in used]) if used else np.zeros(0, np.int64) for k in (0, 1))
+    joined = np.flatnonzero(label != np.arange(n))
+    return joined, label[joined]
 
 
 _EDGES = "a bigint, b bigint"
 
 
-def _forests(batches):
-    """Rows come sorted by (key, pair); runs may reach over batches."""
+def _forests(batches, named: bool = False):
+    """Rows come sorted by (key, pair); runs may reach over batches.  ``named``: edges are real links between column ``id``."""
     fields, rest = arrow_fields(_EDGES), None
-    names = ("key", "pair", "fp", "side")
+    names = ("key", "pair", "fp", "side", *(["id"] if named else []))
 
     def edges(cols):
-        key, pair, fp, side = cols
+        key, pair, fp, side, *ids = cols
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
-        a, b = forest(np.cumsum(new), fp.view(np.uint64), key >> 60, side)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=fields)
+        a, b = forest(np.cumsum(new), fp.view(np.uint64), key >> 60, side, named)
+        node = ids[0] if named else fp
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], schema=fields)
 
     for batch in batches:
         if not batch.num_rows:
@@ -242,11 +296,17 @@ def _forests(batches):
 def links(distinct: DataFrame, block: int = BLOCK, long_from: int = LONG_FROM) -> DataFrame:
     """Edges (a, b) that span all links among the column ``fp`` of distinct fingerprints."""
     keyed = distinct.select("fp").mapInArrow(_keyer(distinct.count() >= long_from), _KEYS)
+    return _dealt(keyed, block).mapInArrow(_forests, _EDGES)
+
+
+def _dealt(keyed: DataFrame, block: int) -> DataFrame:
+    """Rows of shared keys (key, pair, fp, side, ...), sorted; keys of more than ``block`` rows as pairs of blocks."""
+    more = [c for c in keyed.columns if c not in ("key", "fp")]
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     dealt = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("fp", *more), F.col("blocks")).cast("int")
     small, large = dealt.filter("blocks = 1"), dealt.filter("blocks > 1")
-    small = small.select("key", F.lit(0).alias("pair"), "fp", F.lit(0).alias("side"))
+    small = small.select("key", F.lit(0).alias("pair"), "fp", F.lit(0).alias("side"), *more)
     large = (
         large.withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -255,10 +315,11 @@ def links(distinct: DataFrame, block: int = BLOCK, long_from: int = LONG_FROM) -
             (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("pair"),
             "fp",
             F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
+            *more,
         )
     )
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return small.unionByName(large).repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "side").mapInArrow(_forests, _EDGES)
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return small.unionByName(large).repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "side")
 
 
 def _classes(prints: DataFrame, block: int, long_from: int) -> DataFrame:
@@ -293,3 +354,78 @@ def keep_one(docs: DataFrame, block: int = BLOCK, long_from: int = LONG_FROM) ->
     stay = placed.groupBy("root").agg(F.min(rank).alias("win")).select("win.row")
     lost = placed.join(stay, "row", "left_anti").select(F.col("row").alias(row))
     return whole.join(lost, row, "left_anti").drop(row)
+
+
+# --- similar documents ------------------------------------------------------------
+
+_SKETCHED = "row struct<f:bigint,r:bigint>, doc_id bigint, whole bigint, fps array<bigint>"
+
+
+def _sketched(batches):
+    fields = arrow_fields(_SKETCHED)
+    for b in batches:
+        found = [sketches(t) for t in b.column("text").to_pylist()]
+        columns = [pa.array([x[k] for x in found], f.type) for k, f in enumerate(list(fields)[2:])]
+        yield pa.RecordBatch.from_arrays([b.column("row").cast(fields.field("row").type), b.column("doc_id"), *columns], schema=fields)
+
+
+_NAMED_KEYS = "key bigint, fp bigint, id bigint"
+
+
+def _sketch_keyer(long: bool):
+    def keyed(batches):
+        fields = arrow_fields(_NAMED_KEYS)
+        for b in batches:
+            fps = np.array(b.column("fps").flatten().to_numpy(zero_copy_only=False)).reshape(-1, SKETCHES)
+            for number in range(SKETCHES):
+                mine = np.ascontiguousarray(fps[:, number])
+                for key in keys(mine.view(np.uint64), long):
+                    key = key ^ np.uint64(number << 40)  # a sketch's keys meet its own only; a chance meeting is checked like any other
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(mine), b.column("id")], schema=fields)
+
+    return keyed
+
+
+_SETS = "id bigint, shingles array<bigint>"
+
+
+def _sets(batches):
+    fields = arrow_fields(_SETS)
+    for b in batches:
+        found = []
+        for text in b.column("text").to_pylist():
+            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            found.append(np.unique(_shingle_hashes(words, SIMILAR_WORDS)).view(np.int64) if words else [])
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, fields.field("shingles").type)], schema=fields)
+
+
+def similar_pairs(whole: DataFrame, row: str, reps: DataFrame, block: int, long_from: int) -> DataFrame:
+    """(a, b): pairs of ``id`` that are candidates of each other and similar enough."""
+    keyed = reps.select("id", "fps").mapInArrow(_sketch_keyer(reps.count() >= long_from), _NAMED_KEYS)
+    found = _dealt(keyed, block).mapInArrow(lambda batches: _forests(batches, named=True), _EDGES)
+    found = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", F.col("win.row").alias(row)), "id")
+    sets = cut(whole.select(row, "text").join(wanted, row).select("id", "text").mapInArrow(_sets, _SETS), "sets")
+    both = found.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    # two texts without words share all that they have
+    near = F.when(F.size("x") + F.size("y") == 0, F.lit(1.0)).otherwise(shared / (F.size("x") + F.size("y") - shared))
+    return both.filter(near >= SIMILARITY).select("a", "b")
+
+
+def keep_one_similar(docs: DataFrame, block: int = BLOCK, long_from: int = LONG_FROM) -> DataFrame:
+    """The documents, with all of their columns, without all but one of each group of similar ones.
+
+    The smallest ``doc_id`` of a group stays (null last), then the earliest row.
+    """
+    (row,) = fresh(docs, "row_id")
+    whole = with_row_id(docs, row)
+    made = whole.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketched, _SKETCHED)
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
+    # texts of the same words are one from here on
+    reps = cut(made.groupBy("whole", "fps").agg(F.min(rank).alias("win")).withColumn("id", F.monotonically_increasing_id()), "reps")
+    roots = components(similar_pairs(whole, row, reps, block, long_from))
+    linked = cut(reps.select("id", "win").join(roots, F.col("id") == F.col("node"), "left").select("id", "win", "root"), "linked")
+    stay = linked.filter("root IS NOT NULL").groupBy("root").agg(F.min("win").alias("win")).select("win.row")
+    stay = stay.unionByName(linked.filter("root IS NULL").select("win.row")).select(F.col("row").alias(row))
+    return whole.join(stay, row, "left_semi").drop(row)

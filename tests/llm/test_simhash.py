@@ -98,3 +98,71 @@ def test_keep_one_and_empty(spark):
     labels = brute_components([op.fingerprint(t) for _, t, *_ in rows()])
     assert kept.columns == docs(spark).columns and kept.count() == len(set(labels))
     assert op.near_duplicates(no_docs(spark)).count() == 0 and op.keep_one(no_docs(spark)).count() == 0
+
+
+def five_words(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar_components(texts):
+    """Brute force: the components of all pairs whose five-word shingles have a similarity of 0.8 or more."""
+    sets = [five_words(t) for t in texts]
+    label = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        both = len(sets[a] | sets[b])
+        if (len(sets[a] & sets[b]) / both if both else 1.0) >= op.SIMILARITY:
+            x, y = label[a], label[b]
+            label = [x if v == y else v for v in label]
+    return label
+
+
+def near_copies(r, bases=60, copies=4):
+    """Texts with copies of which some words are others: similar ones, and some that are just not similar enough."""
+    from tests.llm.fixtures import DOCS, words
+
+    table = []
+    for k in range(bases):
+        base = words(r.randint(80, 400), 3000 + k).split()
+        table.append(" ".join(base))
+        for _ in range(r.randint(0, copies)):
+            other = list(base)
+            for at in r.sample(range(len(other)), max(1, int(len(other) * r.choice([0.004, 0.01, 0.02, 0.05])))):
+                other[at] = "zz" + other[at]
+            table.append(" ".join(other))
+    r.shuffle(table)
+    return [(i, t, "en", "s", 0) for i, t in enumerate(table)], DOCS
+
+
+def test_similar_documents_recall_and_no_false_drop(spark):
+    table, schema = near_copies(random.Random(12))
+    df = spark.createDataFrame(table, schema)
+    labels = similar_components([t for _, t, *_ in table])
+    kept = {r.doc_id for r in op.keep_one_similar(df).collect()}
+    groups = {}
+    for (i, *_), label in zip(table, labels):
+        groups.setdefault(label, []).append(i)
+    assert all(kept & set(g) for g in groups.values())  # one of each group stays at least
+    extra, more = sum(len(kept & set(g)) - 1 for g in groups.values()), sum(len(g) - 1 for g in groups.values())
+    assert extra <= 0.1 * more and more > 50
+    for block, long_from in ((7, op.LONG_FROM), (op.BLOCK, 0)):
+        other = {r.doc_id for r in op.keep_one_similar(df, block, long_from).collect()}
+        assert all(other & set(g) for g in groups.values()) and abs(len(other) - len(kept)) <= 2
+
+
+def test_similar_odd_rows(spark):
+    kept = op.keep_one_similar(docs(spark))
+    labels = similar_components([t for _, t, *_ in rows()])
+    assert kept.columns == docs(spark).columns and kept.count() == len(set(labels))
+    assert {str(r.doc_id) for r in kept.collect()} == {str(min((i for (i, *_), x in zip(rows(), labels) if x == label and i is not None), default=None)) for label in set(labels)}
+    assert op.keep_one_similar(no_docs(spark)).count() == 0
+
+
+def test_sketches_match_plain_counts():
+    for text in ("a b c", "one", "A b  c\nd e f g " * 20, ""):
+        w = text.lower().split()
+        runs = [" ".join(w[i : i + 2]) for i in range(max(1, len(w) - 1))] if w else []
+        whole, prints = op.sketches(text)
+        hs = [xxhash.xxh64_intdigest(x.encode(), 42) for x in runs]
+        assert prints[0] % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+        assert len(prints) == op.SKETCHES and (whole == 0) == (not w)
