@@ -300,15 +300,20 @@ def links(distinct: DataFrame, block: int = BLOCK, long_from: int = LONG_FROM) -
 
 
 def _dealt(keyed: DataFrame, block: int) -> DataFrame:
-    """Rows of shared keys (key, pair, fp, side, ...), sorted; keys of more than ``block`` rows as pairs of blocks."""
+    """Rows by key (key, pair, fp, side, ...), sorted; keys of more than ``block`` rows as pairs of blocks.
+
+    Only such keys are looked up (a written table of a row for each ``block`` rows
+    at most, whose size decides how it is joined); all others meet in the exchange.
+    """
     more = [c for c in keyed.columns if c not in ("key", "fp")]
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dealt = keyed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    mine = F.pmod(F.xxhash64("fp", *more), F.col("blocks")).cast("int")
-    small, large = dealt.filter("blocks = 1"), dealt.filter("blocks > 1")
+    big = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "big_keys")
+    none = big.isEmpty()
+    small = keyed if none else keyed.join(big, "key", "left_anti")
     small = small.select("key", F.lit(0).alias("pair"), "fp", F.lit(0).alias("side"), *more)
     large = (
-        large.withColumn("mine", mine)
+        keyed.join(big, "key")
+        .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+        .withColumn("mine", F.pmod(F.xxhash64("fp", *more), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "key",
@@ -319,7 +324,8 @@ def _dealt(keyed: DataFrame, block: int) -> DataFrame:
         )
     )
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return small.unionByName(large).repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "side")
+    rows = small if none else small.unionByName(large)
+    return rows.repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "side")
 
 
 def _classes(prints: DataFrame, block: int, long_from: int) -> DataFrame:
