@@ -3,6 +3,8 @@
 import importlib
 import sys
 
+import pytest
+
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
@@ -22,6 +24,14 @@ def test_the_rest_works_without_the_llm_folders(monkeypatch):
     assert "r01_unused_import" in entry.queries() and not any(k.startswith("op") for k in entry.queries())
 
 
+def test_other_failed_imports_are_raised(monkeypatch, tmp_path):
+    (tmp_path / "broken_part.py").write_text("import surely_not_there\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert entry._optional("no_package.part") is None and entry._optional("cinderbark.no_part") is None
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional("broken_part")
+
+
 def test_queries_match_their_sql(spark):
     import duckdb
 
