@@ -255,7 +255,13 @@ def forest(key: np.ndarray, fps: np.ndarray, start: np.ndarray, side: np.ndarray
             held.append((a, b))
             count += len(a)
         if count > _LINKS or (held and not len(at)):
-            label = _merge(label, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), used if real else None)
+            a, b = (np.concatenate([pair[k] for pair in held]) for k in (0, 1))
+            if real:  # the nearest pairs first, as they are verified
+                apart = np.bitwise_count(fps[a] ^ fps[b])
+                for bits in range(DISTANCE + 1):
+                    label = _merge(label, a[apart == bits], b[apart == bits], used)
+            else:
+                label = _merge(label, a, b)
             held, count = [], 0
     if real:
         return tuple(np.concatenate([x[k] for x in used]) if used else np.zeros(0, np.int64) for k in (0, 1))
