@@ -33,8 +33,10 @@ texts are near if the Jaccard similarity of their five-word shingles is
 two-word shingles, which one changed word moves less than longer ones; a pair
 within ``DISTANCE`` bits in any of them is a candidate.  The same keys, chains
 and blocks find candidates; each block gives a spanning forest of real
-candidate pairs, and each pair of it is verified on whole texts before
-components are formed, so no text goes without a near one that stays.
+candidate pairs, nearest first, and each pair of it is verified on whole texts
+before components are formed.  A text only goes if such verified links lead to
+one that stays; a link may be missed if it is no candidate, or if the forest
+spans it by pairs that fail the verification.
 
 Results.  Null texts count as empty; all texts without words link.  A null
 ``doc_id`` takes part, and is the smallest only in a component of nulls.
