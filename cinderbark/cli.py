@@ -63,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     rows, _ = present.present(found, a.sort, a.max_findings, select=a.select, ignore_rules=a.ignore_rule, fixable_only=a.fixable_only)
     if a.format == "json":
-        out = reports.report(rows, scan.errors, scan.facts.table.count())
+        out = reports.report(rows, scan.errors, scan.facts.table.filter("piece = 0").count())
     elif a.format == "sarif":
         out = reports.sarif(rows).select("text")
     else:

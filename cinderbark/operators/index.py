@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +17,10 @@ from cinderbark.plans.config import Config
 from cinderbark.plans.schemas import FACTS
 
 SEP = "\x1f"
+#: Items that each list of a record has at most; a file with more has several records, numbered by ``piece``.
+PIECE = 20_000
+#: Items, and records, that are handed to Spark at once.
+BATCH, RECORDS = 20_000, 1_000
 
 
 def backend(source: str, settings: Settings) -> dict:
@@ -22,32 +29,86 @@ def backend(source: str, settings: Settings) -> dict:
 
 
 def index(sources: DataFrame, config: Config, index_source=backend) -> DataFrame:
-    """One fact record per file; a file that cannot be parsed has ``error`` and its ``words`` instead."""
+    """Fact records of each file, more than one only for very long files; a file that cannot be parsed has ``error`` and
+    its ``words`` instead."""
     settings = Settings(dict(config.fold), config.duplicate_min_statements, config.directive_word)
     schema = to_arrow_schema(sources.sparkSession.createDataFrame([], FACTS).schema)
+    lists = [f.name for f in schema if pa.types.is_list(f.type) and pa.types.is_struct(f.type.value_type)]
+
+    def record(project: str, path: str, source: str | None) -> dict:
+        row = {"project_id": project, "path": path}
+        try:
+            if source is None:
+                raise SyntaxError("the file cannot be decoded")
+            row |= index_source(source, settings)
+        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+            row["error"] = {"line": getattr(e, "lineno", None) or 1, "column": getattr(e, "offset", None) or 1, "message": getattr(e, "msg", None) or str(e)}
+            row["words"] = sorted({m[0].lower() for m in re.finditer(r"\w+", source)}) if source is not None else None
+        return row
 
     def run(batches):
-        for b in batches:
-            rows = []
-            for project, path, source in zip(*(b.column(n).to_pylist() for n in ("project_id", "path", "source"))):
-                row = {"project_id": project, "path": path}
-                try:
-                    if source is None:
-                        raise SyntaxError("the file cannot be decoded")
-                    row |= index_source(source, settings)
-                except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-                    row["error"] = {"line": getattr(e, "lineno", None) or 1, "column": getattr(e, "offset", None) or 1, "message": getattr(e, "msg", None) or str(e)}
-                    row["words"] = sorted({w.lower() for w in re.findall(r"\w+", source)}) if source is not None else None
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([_shaped(r.get(f.name), f.type) for r in rows], f.type) for f in schema], schema=schema)
+        rows, items = [], 0
+        gc.disable()  # trees have no circles, but looking for some takes half of the time
+        try:
+            for b in batches:
+                columns = [b.column(n) for n in ("project_id", "path", "source")]
+                for k in range(b.num_rows):
+                    for row in pieces(record(*(c[k].as_py() for c in columns)), lists):
+                        rows.append(row)
+                        items += sum(len(row.get(n) or ()) for n in lists)
+                        if items >= BATCH or len(rows) >= RECORDS:
+                            yield _batch(rows, schema)
+                            rows, items = [], 0
+                            if not row["piece"]:
+                                gc.collect()
+                    if row["piece"]:  # the names and scopes of a long file go before the next is read
+                        gc.collect()
+            if rows:
+                yield _batch(rows, schema)
+        finally:
+            gc.enable()
 
     return sources.select("project_id", "path", "source").mapInArrow(run, FACTS)
 
 
+def pieces(row: dict, lists: list[str]) -> Iterator[dict]:
+    """``row`` as records whose ``lists`` have at most ``PIECE`` items; what is no such list is in the first."""
+    rest = {n: iter(row[n]) for n in lists if row.get(n) is not None}
+    out, number = row, 0
+    while True:
+        parts = {n: list(islice(r, PIECE)) for n, r in rest.items()}
+        if number and not any(parts.values()):
+            return
+        yield out | parts | {"piece": number}
+        if not any(len(p) == PIECE for p in parts.values()):
+            return
+        out, number = {"project_id": row["project_id"], "path": row["path"]}, number + 1
+
+
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_column([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """Values as Arrow has them; lists of tuples go column by column."""
+    if pa.types.is_list(kind) and pa.types.is_struct(kind.value_type):
+        at, offsets = 0, []
+        for v in values:
+            offsets.append(None if v is None else at)
+            at += len(v or ())
+        flat = list(chain.from_iterable(v for v in values if v is not None))
+        if all(type(x) is tuple and len(x) == kind.value_type.num_fields for x in flat):
+            fields = list(kind.value_type)
+            parts = list(zip(*flat)) if flat else [()] * len(fields)
+            inner = pa.StructArray.from_arrays([_column(list(p), f.type) for p, f in zip(parts, fields)], fields=fields)
+            return pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), inner, type=kind)
+    return pa.array([_shaped(v, kind) for v in values], kind)
+
+
 def _shaped(value, kind: pa.DataType):
     """Tuples become the struct that ``kind`` wants."""
-    if value is None:
-        return None
+    if value is None or not pa.types.is_nested(kind):
+        return value
     if pa.types.is_list(kind):
         return [_shaped(v, kind.value_type) for v in value]
     if pa.types.is_struct(kind) and not isinstance(value, dict):
@@ -80,14 +141,15 @@ class Facts:
     """Typed views of indexed files.  ``sym`` names a symbol: project, path and qualname."""
 
     def __init__(self, table: DataFrame):
-        self.table = table
-        good = table.filter("error IS NULL")
-        self.files = good.select("project_id", "path", "has_main_guard", "exports", "import_probes", "lambda_mentions", "module_sweeps", "dynamic_imports", "module_strings", "abstract", "unbound_names")
+        self.table = table if "piece" in table.columns else table.withColumn("piece", F.lit(0))
+        good = self.table.filter("error IS NULL")
+        self.files = good.filter("piece = 0").select("project_id", "path", "has_main_guard", "exports", "import_probes", "lambda_mentions", "module_sweeps", "dynamic_imports", "module_strings", "abstract", "unbound_names")
         self.good = good
 
     def each(self, column: str) -> DataFrame:
         """The rows of a nested column with their file and their place ``ord``."""
-        out = self.good.select("project_id", "path", F.posexplode(column).alias("ord", "item"))
+        out = self.good.select("project_id", "path", "piece", F.posexplode(column).alias("ord", "item"))
+        out = out.withColumn("ord", (F.col("ord") + F.col("piece") * PIECE).cast("int")).drop("piece")
         kind = dict(out.dtypes)["item"]
         return out.select("project_id", "path", "ord", "item.*") if kind.startswith("struct") else out.withColumnRenamed("item", "value")
 

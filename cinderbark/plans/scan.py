@@ -13,7 +13,7 @@ from cinderbark.operators.index import Facts, backend, index
 from cinderbark.operators.reach import Reached
 from cinderbark.operators.resolve import Resolved
 from cinderbark.plans.config import Config
-from cinderbark.session import cut
+from cinderbark.session import cut, setting
 from cinderbark.sources.manifests import read_manifests
 
 
@@ -36,7 +36,10 @@ class Scan:
     @cached_property
     def facts(self) -> Facts:
         table = self.stored if self.stored is not None else index(self.sources, self.config, self.index_source)
-        return Facts(cut(table, "facts") if self.stored is None else table)
+        if self.stored is not None:
+            return Facts(table)
+        with setting(table.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", "8m"):  # sources may be long
+            return Facts(cut(table, "facts"))
 
     @cached_property
     def declared(self) -> DataFrame | None:

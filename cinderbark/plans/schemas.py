@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 _FACTS = """
-project_id string, path string,
+project_id string, path string, piece int,
 error struct<line:int,column:int,message:string>,
 has_main_guard boolean, exports array<string>,
 bindings array<struct<name:string,qualname:string,kind:string,line:int,column:int,scope_kind:string,read_count:int,typing_only:boolean,origin:string>>,

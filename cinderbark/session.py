@@ -40,6 +40,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """``key`` is ``value`` for what is planned meanwhile."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lost executor costs a reread, no recomputation."""
     spark = df.sparkSession
