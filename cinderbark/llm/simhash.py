@@ -34,9 +34,10 @@ two-word shingles, which one changed word moves less than longer ones; a pair
 within ``DISTANCE`` bits in any of them is a candidate.  The same keys, chains
 and blocks find candidates; each block gives a spanning forest of real
 candidate pairs, nearest first, and each pair of it is verified on whole texts
-before components are formed.  A text only goes if such verified links lead to
-one that stays; a link may be missed if it is no candidate, or if the forest
-spans it by pairs that fail the verification.
+before components are formed.  Where a pair of the forest fails and leaves texts
+apart, every candidate pair between the parts is verified too, so no candidate
+that is similar enough is left out.  A text only goes if such verified links
+lead to one that stays; a link may be missed if it is no candidate.
 
 Results.  Null texts count as empty; all texts without words link.  A null
 ``doc_id`` takes part, and is the smallest only in a component of nulls.
@@ -386,16 +387,16 @@ def _sketched(batches):
 _NAMED_KEYS = "key bigint, fp bigint, id bigint"
 
 
-def _sketch_keyer(long: bool):
+def _sketch_keyer(long: bool, parts: bool = False):
     def keyed(batches):
-        fields = arrow_fields(_NAMED_KEYS)
+        fields = arrow_fields(_NAMED_KEYS + ", part bigint" * parts)
         for b in batches:
             fps = np.array(b.column("fps").flatten().to_numpy(zero_copy_only=False)).reshape(-1, SKETCHES)
             for number in range(SKETCHES):
                 mine = np.ascontiguousarray(fps[:, number])
                 for key in keys(mine.view(np.uint64), long):
                     key = key ^ np.uint64(number << 40)  # a sketch's keys meet its own only; a chance meeting is checked like any other
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(mine), b.column("id")], schema=fields)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(mine), b.column("id"), *([b.column("part")] if parts else [])], schema=fields)
 
     return keyed
 
@@ -413,11 +414,45 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, fields.field("shingles").type)], schema=fields)
 
 
-def similar_pairs(whole: DataFrame, row: str, reps: DataFrame, block: int, long_from: int) -> DataFrame:
-    """(a, b): pairs of ``id`` that are candidates of each other and similar enough."""
-    keyed = reps.select("id", "fps").mapInArrow(_sketch_keyer(reps.count() >= long_from), _NAMED_KEYS)
-    found = _dealt(keyed, block).mapInArrow(lambda batches: _forests(batches, named=True), _EDGES)
-    found = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+def _crossings(batches):
+    """Every candidate pair of different ``part``s; rows come sorted by (key, pair), runs may reach over batches."""
+    fields, rest = arrow_fields(_EDGES), None
+
+    def pairs(cols):
+        key, pair, fp, side, ids, part = cols
+        new = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]))
+        fps, start = fp.view(np.uint64), key >> 60
+        at, shift = np.arange(len(key)), 0
+        while len(at):
+            shift += 1
+            at = at[at + shift < len(key)]
+            at = at[new[at] == new[at + shift]]
+            other = at + shift
+            meet = ((side[at] == 0) | (side[at] != side[other])) & (part[at] != part[other])
+            a, b = at[meet], other[meet]
+            diff = fps[a] ^ fps[b]
+            ok = np.bitwise_count(diff) <= DISTANCE
+            if ok.any():
+                a, b, diff = a[ok], b[ok], diff[ok]
+                ok = chain_holds(start[a], diff)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], schema=fields)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "pair", "fp", "side", "id", "part")]
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols)]
+        cutoff = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])))
+        rest = [x[cutoff:] for x in cols]
+        if cutoff:
+            yield from pairs([x[:cutoff] for x in cols])
+    if rest is not None and len(rest[0]):
+        yield from pairs(rest)
+
+
+def _similar(found: DataFrame, whole: DataFrame, row: str, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``found`` whose whole texts are similar enough."""
     wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", F.col("win.row").alias(row)), "id")
     sets = cut(whole.select(row, "text").join(wanted, row).select("id", "text").mapInArrow(_sets, _SETS), "sets")
     both = found.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -427,6 +462,29 @@ def similar_pairs(whole: DataFrame, row: str, reps: DataFrame, block: int, long_
     return both.filter(near >= SIMILARITY).select("a", "b")
 
 
+def similar_pairs(whole: DataFrame, row: str, reps: DataFrame, block: int, long_from: int) -> DataFrame:
+    """(a, b): pairs of ``id`` that are candidates and similar enough, and that span all such pairs."""
+    long = reps.count() >= long_from
+    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keyed = reps.select("id", "fps").mapInArrow(_sketch_keyer(long), _NAMED_KEYS)
+    found = cut(ordered(_dealt(keyed, block).mapInArrow(lambda batches: _forests(batches, named=True), _EDGES)), "candidates")
+    near = cut(_similar(found, whole, row, reps), "similar")
+    failed = cut(found.join(near, ["a", "b"], "left_anti"), "failed")
+    if failed.isEmpty():
+        return near
+    # the forest spans all candidates: only its components with a failed pair between two parts hold more to verify
+    sure = components(near)
+    part = lambda c: sure.select(F.col("node").alias(c), F.col("root").alias(f"part_{c}"))
+    apart = failed.join(part("a"), "a", "left").join(part("b"), "b", "left").filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
+    every = components(found)
+    open_ = every.join(apart.select(F.col("a").alias("node")), "node").select("root").distinct()
+    left = every.join(open_, "root", "left_semi").select(F.col("node").alias("id")).join(part("id"), "id", "left")
+    left = cut(reps.select("id", "fps").join(left, "id").select("id", "fps", F.coalesce("part_id", "id").alias("part")), "open")
+    keyed = left.mapInArrow(_sketch_keyer(long, parts=True), _NAMED_KEYS + ", part bigint")
+    more = ordered(_dealt(keyed, block).mapInArrow(_crossings, _EDGES)).join(found, ["a", "b"], "left_anti")
+    return near.unionByName(_similar(cut(more, "crossings"), whole, row, reps))
+
+
 def keep_one_similar(docs: DataFrame, block: int = BLOCK, long_from: int = LONG_FROM) -> DataFrame:
     """The documents, with all of their columns, without all but one of each group of similar ones.
 

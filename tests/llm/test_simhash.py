@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from cinderbark.llm import simhash as op
@@ -166,3 +167,14 @@ def test_sketches_match_plain_counts():
         hs = [xxhash.xxh64_intdigest(x.encode(), 42) for x in runs]
         assert prints[0] % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
         assert len(prints) == op.SKETCHES and (whole == 0) == (not w)
+
+
+@pytest.mark.parametrize("block", [op.BLOCK, 2])
+def test_similar_pairs_behind_failed_ones_are_found(spark, block):
+    """The nearest fingerprints span a run by pairs that aren't similar; the similar pair lies further apart."""
+    same = " ".join(f"w{k}" for k in range(60))
+    texts = [same, "other words " * 20, same + " more", " ".join(f"v{k}" for k in range(60))]
+    whole = spark.createDataFrame(list(enumerate(texts)), "r bigint, text string")
+    reps = spark.createDataFrame([(k, [fp + (n << 32) for n in range(op.SKETCHES)], (k,)) for k, fp in enumerate((0, 1, 3, 7))], "id bigint, fps array<bigint>, win struct<row:bigint>")
+    found = op.similar_pairs(whole, "r", reps, block, op.LONG_FROM)
+    assert [tuple(r) for r in found.collect()] == [(0, 2)]
