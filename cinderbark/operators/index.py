@@ -49,6 +49,8 @@ def index(sources: DataFrame, config: Config, index_source=backend) -> DataFrame
     def run(batches):
         rows, items = [], 0
         gc.disable()  # trees have no circles, but looking for some takes half of the time
+        gc.collect()
+        gc.freeze()  # what modules hold is looked at no more
         try:
             for b in batches:
                 columns = [b.column(n) for n in ("project_id", "path", "source")]
@@ -66,6 +68,7 @@ def index(sources: DataFrame, config: Config, index_source=backend) -> DataFrame
             if rows:
                 yield _batch(rows, schema)
         finally:
+            gc.unfreeze()
             gc.enable()
 
     return sources.select("project_id", "path", "source").mapInArrow(run, FACTS)

@@ -10,10 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Files of a corpus that one task renders and parses.
+FILES = 2_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows``, each of which becomes a file, in tasks of some ``FILES``: a few MB of them are many files to parse."""
+    return rows.repartition(rows.count() // FILES + 1, key)
+
+
 def lines(*parts) -> Column:
     """Source text; null parts leave no line."""
     return F.concat(F.concat_ws("\n", *(p if isinstance(p, Column) else F.lit(p) for p in parts)), F.lit("\n"))
@@ -35,7 +44,7 @@ def one(spark: SparkSession) -> DataFrame:
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A script per part: an import that even sizes use, dead code for large sizes, an unread local for high prices,
     and a body of five statements that is the same for all parts of a brand."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(table(spark, sf_dir, "part"), "p_partkey")
     even, large, dear = F.col("p_size") % 2 == 0, F.col("p_size") > 25, F.col("p_retailprice") > 950
     source = lines(
         "import json",
@@ -120,7 +129,7 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A script per part with an unused import: its comment covers the rule, another rule, or there is none."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(table(spark, sf_dir, "part"), "p_partkey")
     mark = F.when(F.col("p_size") % 3 == 0, "  # cinderbark: ignore[unused-import] -- kept").when(F.col("p_size") % 3 == 1, "  # cinderbark: ignore[unused-class]").otherwise("")
     source = lines(F.concat(F.lit("import json"), mark), 'if __name__ == "__main__":', "    print(1)")
     return files(p, "suppress", text("tools_%06d.py", "p_partkey"), source)
