@@ -7,17 +7,19 @@
   which ``doc_id`` may repeat or be null, and however the input was made.
 * ``heavy_join`` looks keys up without sending all rows of a hot key to one task.
 * ``fresh`` finds column names that the input does not use.
+* ``slices`` bounds what a Python worker holds of a batch of texts.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderbark.session import cut, new_folder
 
-__all__ = ["arrow_fields", "cut", "fresh", "heavy_join", "hot_keys", "new_folder", "strip_spaces", "with_row_id"]
+__all__ = ["arrow_fields", "cut", "fresh", "heavy_join", "hot_keys", "new_folder", "slices", "strip_spaces", "with_row_id"]
 
 #: Deletes ASCII white space, as ``[\x20\x09-\x0D]`` has it.
 SPACES = [" ", "\t", "\n", "\x0b", "\f", "\r"]
@@ -110,3 +112,19 @@ def arrow_type(kind: str) -> pa.DataType:
 def arrow_fields(schema: str) -> pa.Schema:
     """The Arrow schema of ``name type, name type``; works without a session."""
     return pa.schema([(name, arrow_type(kind)) for name, kind in (x.split(" ") for x in schema.split(", "))])
+
+
+#: Bytes of text that a Python worker takes from a batch at once; a longer text comes alone.
+SLICE = 1 << 20
+
+
+def slices(batches, column: str = "text"):
+    """``batches`` in runs of rows with some ``SLICE`` bytes of ``column``, without a copy."""
+    for b in batches:
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(b.column(column)), 0).cast(pa.int64())).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(ends.searchsorted(before + SLICE, "right")))
+            yield b.slice(at, end - at)
+            at = end

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderbark.llm import boosting
-from cinderbark.llm.common import arrow_fields
+from cinderbark.llm.common import arrow_fields, slices
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -119,7 +119,7 @@ _STATS = "doc_id bigint, stats array<double>"
 
 def _stats(batches):
     fields = arrow_fields(_STATS)
-    for b in batches:
+    for b in slices(batches):
         stats = [statistics(t).tolist() for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(stats, fields.field("stats").type)], schema=fields)
 
@@ -148,7 +148,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     forest = fit(docs, labels, sample)
 
     def score(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_scores(forest, b.column("text")))], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id bigint, score double")
@@ -160,7 +160,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshol
     forest = fit(docs, labels, sample)
 
     def keep(batches):
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(_scores(forest, b.column("text")) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

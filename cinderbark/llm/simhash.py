@@ -56,7 +56,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderbark.llm.common import arrow_fields, cut, fresh, heavy_join, with_row_id
+from cinderbark.llm.common import arrow_fields, cut, fresh, heavy_join, slices, with_row_id
 from cinderbark.llm.graph import components
 
 DISTANCE = 4
@@ -133,7 +133,7 @@ _PRINTS = "row struct<f:bigint,r:bigint>, doc_id bigint, fp bigint"
 
 def _prints(batches):
     fields = arrow_fields(_PRINTS)
-    for b in batches:
+    for b in slices(batches):
         fps = np.fromiter(map(fingerprint, b.column("text").to_pylist()), np.uint64, b.num_rows)
         yield pa.RecordBatch.from_arrays([b.column("row").cast(fields.field("row").type), b.column("doc_id"), pa.array(fps.view(np.int64))], schema=fields)
 
@@ -378,7 +378,7 @@ _SKETCHED = "row struct<f:bigint,r:bigint>, doc_id bigint, whole bigint, fps arr
 
 def _sketched(batches):
     fields = arrow_fields(_SKETCHED)
-    for b in batches:
+    for b in slices(batches):
         found = [sketches(t) for t in b.column("text").to_pylist()]
         columns = [pa.array([x[k] for x in found], f.type) for k, f in enumerate(list(fields)[2:])]
         yield pa.RecordBatch.from_arrays([b.column("row").cast(fields.field("row").type), b.column("doc_id"), *columns], schema=fields)
@@ -406,7 +406,7 @@ _SETS = "id bigint, shingles array<bigint>"
 
 def _sets(batches):
     fields = arrow_fields(_SETS)
-    for b in batches:
+    for b in slices(batches):
         found = []
         for text in b.column("text").to_pylist():
             words = (text or "").encode("utf-8", "surrogatepass").lower().split()
