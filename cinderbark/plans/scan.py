@@ -13,10 +13,9 @@ from cinderbark.operators.index import Facts, backend, index
 from cinderbark.operators.reach import Reached
 from cinderbark.operators.resolve import Resolved
 from cinderbark.plans.config import Config
-from cinderbark.session import cut, setting
+from cinderbark.session import ROW_GROUPS, cut, setting
 from cinderbark.sources.manifests import read_manifests
 
-
 @dataclass
 class Scan:
     """Stages of a scan; each is computed at most once, and only if something asks for it.
@@ -39,7 +38,7 @@ class Scan:
         if self.stored is not None:
             return Facts(table)
         with setting(table.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", "8m"):  # sources may be long
-            return Facts(cut(table, "facts"))
+            return Facts(cut(table, "facts", **ROW_GROUPS))
 
     @cached_property
     def declared(self) -> DataFrame | None:

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
 
+#: For tables with very long rows: a reader takes thousands of records of a row group at once.
+ROW_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a folder of this machine only for a local master without that setting."""
@@ -51,11 +54,11 @@ def setting(spark: SparkSession, key: str, value: str):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
+def cut(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lost executor costs a reread, no recomputation."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
