@@ -35,9 +35,12 @@ within ``DISTANCE`` bits in any of them is a candidate.  The same keys, chains
 and blocks find candidates; each block gives a spanning forest of real
 candidate pairs, nearest first, and each pair of it is verified on whole texts
 before components are formed.  Where a pair of the forest fails and leaves texts
-apart, every candidate pair between the parts is verified too, so no candidate
-that is similar enough is left out.  A text only goes if such verified links
-lead to one that stays; a link may be missed if it is no candidate.
+apart, all texts of its component are compared across the parts, whatever their
+bits, so no candidate that is similar enough is left out.  They meet in pairs of
+blocks that hold whole sets of shingles; each gives a spanning forest of its
+similar pairs, so pairs that fail are never rows.  A text only goes if such
+verified links lead to one that stays; a link may be missed if its texts are in
+no component of candidates together.
 
 Results.  Null texts count as empty; all texts without words link.  A null
 ``doc_id`` takes part, and is the smallest only in a component of nulls.
@@ -71,6 +74,8 @@ LONG_FROM = 1 << 28
 _STEP = 1 << 18
 #: Links that are held before they are merged into the forest.
 _LINKS = 1 << 20
+#: Shingles of a component that is compared as one block; one with k squared times as many has k blocks.
+_ONE_BLOCK = 1 << 14
 
 
 def fingerprint(text: str | None) -> int:
@@ -308,6 +313,16 @@ def links(distinct: DataFrame, block: int = BLOCK, long_from: int = LONG_FROM) -
     return _dealt(keyed, block).mapInArrow(_forests, _EDGES)
 
 
+def _pairs_of_blocks(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows with ``pair`` and ``side``, one for each pair of blocks that holds the row's; ``blocks`` is the number of its group."""
+    return (
+        rows.withColumn("mine", F.pmod(F.xxhash64(*by), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("pair", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other"))
+        .withColumn("side", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2))
+    )
+
+
 def _dealt(keyed: DataFrame, block: int) -> DataFrame:
     """Rows by key (key, pair, fp, side, ...), sorted; keys of more than ``block`` rows as pairs of blocks.
 
@@ -319,19 +334,8 @@ def _dealt(keyed: DataFrame, block: int) -> DataFrame:
     none = big.isEmpty()
     small = keyed if none else keyed.join(big, "key", "left_anti")
     small = small.select("key", F.lit(0).alias("pair"), "fp", F.lit(0).alias("side"), *more)
-    large = (
-        keyed.join(big, "key")
-        .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-        .withColumn("mine", F.pmod(F.xxhash64("fp", *more), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "key",
-            (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("pair"),
-            "fp",
-            F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-            *more,
-        )
-    )
+    large = _pairs_of_blocks(keyed.join(big, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "fp", *more)
+    large = large.select("key", "pair", "fp", "side", *more)
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = small if none else small.unionByName(large)
     return rows.repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "side")
@@ -387,16 +391,16 @@ def _sketched(batches):
 _NAMED_KEYS = "key bigint, fp bigint, id bigint"
 
 
-def _sketch_keyer(long: bool, parts: bool = False):
+def _sketch_keyer(long: bool):
     def keyed(batches):
-        fields = arrow_fields(_NAMED_KEYS + ", part bigint" * parts)
+        fields = arrow_fields(_NAMED_KEYS)
         for b in batches:
             fps = np.array(b.column("fps").flatten().to_numpy(zero_copy_only=False)).reshape(-1, SKETCHES)
             for number in range(SKETCHES):
                 mine = np.ascontiguousarray(fps[:, number])
                 for key in keys(mine.view(np.uint64), long):
                     key = key ^ np.uint64(number << 40)  # a sketch's keys meet its own only; a chance meeting is checked like any other
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(mine), b.column("id"), *([b.column("part")] if parts else [])], schema=fields)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(mine), b.column("id")], schema=fields)
 
     return keyed
 
@@ -414,47 +418,72 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, fields.field("shingles").type)], schema=fields)
 
 
+def spanning(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that span the similar pairs of different ``part``s; ``side`` as in ``forest``."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    label, side = part[order], side[order]
+    a, b = [], []
+    if (label == label[0]).all():
+        return np.array(a, np.int64), np.array(b, np.int64)
+    sizes = np.array([len(sets[k]) for k in order])
+    ends = np.cumsum(sizes)
+    values, names = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    mine = np.zeros(len(values), bool)
+    last = np.searchsorted(sizes * SIMILARITY, sizes + 1e-6, "right")  # larger sets are too large
+    for k, (size, start) in enumerate(zip(sizes.tolist(), (ends - sizes).tolist())):
+        at, to = k + 1, int(last[k])
+        meet = label[at:to] != label[k]
+        if side[k]:
+            meet &= side[at:to] != side[k]
+        if not meet.any():
+            continue
+        own = names[start : start + size]
+        mine[own] = True
+        upto = np.concatenate([[0], np.cumsum(mine[names[ends[k] : ends[to - 1]]], dtype=np.int64)])
+        mine[own] = False
+        shared = np.diff(upto[ends[k:to] - ends[k]])
+        both = size + sizes[at:to] - shared
+        hits = np.flatnonzero(meet & ((shared / np.maximum(both, 1) >= SIMILARITY) | (both == 0)))
+        if len(hits):
+            labels, first = np.unique(label[at + hits], return_index=True)
+            a += [int(order[k])] * len(first)
+            b += order[at + hits[first]].tolist()
+            label[np.isin(label, labels)] = label[k]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def _crossings(batches):
-    """Every candidate pair of different ``part``s; rows come sorted by (key, pair), runs may reach over batches."""
-    fields, rest = arrow_fields(_EDGES), None
+    """Similar pairs of texts of different ``part``s; rows come sorted by (root, pair), runs may reach over batches."""
+    fields, run, held = arrow_fields(_EDGES), None, []
 
-    def pairs(cols):
-        key, pair, fp, side, ids, part = cols
-        new = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]))
-        fps, start = fp.view(np.uint64), key >> 60
-        at, shift = np.arange(len(key)), 0
-        while len(at):
-            shift += 1
-            at = at[at + shift < len(key)]
-            at = at[new[at] == new[at + shift]]
-            other = at + shift
-            meet = ((side[at] == 0) | (side[at] != side[other])) & (part[at] != part[other])
-            a, b = at[meet], other[meet]
-            diff = fps[a] ^ fps[b]
-            ok = np.bitwise_count(diff) <= DISTANCE
-            if ok.any():
-                a, b, diff = a[ok], b[ok], diff[ok]
-                ok = chain_holds(start[a], diff)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], schema=fields)
+    def pairs():
+        side, ids, part = (np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in held]) for n in ("side", "id", "part"))
+        a, b = spanning([x.values.to_numpy(zero_copy_only=False) for b in held for x in b.column("shingles")], part, side)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], schema=fields)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "pair", "fp", "side", "id", "part")]
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols)]
-        cutoff = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])))
-        rest = [x[cutoff:] for x in cols]
-        if cutoff:
-            yield from pairs([x[:cutoff] for x in cols])
-    if rest is not None and len(rest[0]):
-        yield from pairs(rest)
+        root, pair = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("root", "pair"))
+        new = np.flatnonzero((root[1:] != root[:-1]) | (pair[1:] != pair[:-1])) + 1
+        for at, end in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+            if held and run != (root[at], pair[at]):
+                yield pairs()
+                held = []
+            run = root[at], pair[at]
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield pairs()
+
+
+def _shingle_sets(found: DataFrame, whole: DataFrame, row: str, reps: DataFrame) -> DataFrame:
+    """id, shingles of each text of the pairs (a, b) of ``found``."""
+    wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", F.col("win.row").alias(row)), "id")
+    return cut(whole.select(row, "text").join(wanted, row).select("id", "text").mapInArrow(_sets, _SETS), "sets")
 
 
-def _similar(found: DataFrame, whole: DataFrame, row: str, reps: DataFrame) -> DataFrame:
+def _similar(found: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``found`` whose whole texts are similar enough."""
-    wanted = found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", F.col("win.row").alias(row)), "id")
-    sets = cut(whole.select(row, "text").join(wanted, row).select("id", "text").mapInArrow(_sets, _SETS), "sets")
     both = found.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     # two texts without words share all that they have
@@ -463,12 +492,12 @@ def _similar(found: DataFrame, whole: DataFrame, row: str, reps: DataFrame) -> D
 
 
 def similar_pairs(whole: DataFrame, row: str, reps: DataFrame, block: int, long_from: int) -> DataFrame:
-    """(a, b): pairs of ``id`` that are candidates and similar enough, and that span all such pairs."""
-    long = reps.count() >= long_from
-    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    keyed = reps.select("id", "fps").mapInArrow(_sketch_keyer(long), _NAMED_KEYS)
-    found = cut(ordered(_dealt(keyed, block).mapInArrow(lambda batches: _forests(batches, named=True), _EDGES)), "candidates")
-    near = cut(_similar(found, whole, row, reps), "similar")
+    """(a, b): pairs of ``id`` that are similar enough, and that span all such candidates."""
+    keyed = reps.select("id", "fps").mapInArrow(_sketch_keyer(reps.count() >= long_from), _NAMED_KEYS)
+    found = _dealt(keyed, block).mapInArrow(lambda batches: _forests(batches, named=True), _EDGES)
+    found = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    sets = _shingle_sets(found, whole, row, reps)
+    near = cut(_similar(found, sets), "similar")
     failed = cut(found.join(near, ["a", "b"], "left_anti"), "failed")
     if failed.isEmpty():
         return near
@@ -478,11 +507,14 @@ def similar_pairs(whole: DataFrame, row: str, reps: DataFrame, block: int, long_
     apart = failed.join(part("a"), "a", "left").join(part("b"), "b", "left").filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
     every = components(found)
     open_ = every.join(apart.select(F.col("a").alias("node")), "node").select("root").distinct()
-    left = every.join(open_, "root", "left_semi").select(F.col("node").alias("id")).join(part("id"), "id", "left")
-    left = cut(reps.select("id", "fps").join(left, "id").select("id", "fps", F.coalesce("part_id", "id").alias("part")), "open")
-    keyed = left.mapInArrow(_sketch_keyer(long, parts=True), _NAMED_KEYS + ", part bigint")
-    more = ordered(_dealt(keyed, block).mapInArrow(_crossings, _EDGES)).join(found, ["a", "b"], "left_anti")
-    return near.unionByName(_similar(cut(more, "crossings"), whole, row, reps))
+    sized = every.join(sets.select(F.col("id").alias("node"), F.size("shingles").alias("size")), "node").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.sqrt(F.col("size") / _ONE_BLOCK))).cast("int")
+    sized = cut(sized.join(open_, "root", "left_semi").select("root", blocks.alias("blocks")), "open")
+    left = heavy_join(every.withColumnRenamed("node", "id"), sized, "root").join(part("id"), "id", "left").join(sets, "id")
+    left = _pairs_of_blocks(left, "id").select("root", "pair", "side", "id", F.coalesce("part_id", "id").alias("part"), "shingles")
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = left.repartition(n, "root", "pair").sortWithinPartitions("root", "pair").mapInArrow(_crossings, _EDGES)
+    return near.unionByName(cut(more, "crossings"))
 
 
 def keep_one_similar(docs: DataFrame, block: int = BLOCK, long_from: int = LONG_FROM) -> DataFrame:

@@ -178,3 +178,57 @@ def test_similar_pairs_behind_failed_ones_are_found(spark, block):
     reps = spark.createDataFrame([(k, [fp + (n << 32) for n in range(op.SKETCHES)], (k,)) for k, fp in enumerate((0, 1, 3, 7))], "id bigint, fps array<bigint>, win struct<row:bigint>")
     found = op.similar_pairs(whole, "r", reps, block, op.LONG_FROM)
     assert [tuple(r) for r in found.collect()] == [(0, 2)]
+
+
+@pytest.mark.parametrize("block", [op.BLOCK, 70])
+def test_failed_pairs_of_a_large_group_are_no_rows(spark, block, monkeypatch):
+    """300 texts that are all candidates of each other, few of them similar: tables grow with texts, not with pairs."""
+    from tests.llm.fixtures import words
+
+    r, texts = random.Random(3), []
+    for k in range(100):
+        base = words(r.randint(40, 90), 500 + k).split()
+        texts += [" ".join(base), " ".join([*base, "more"]), words(60, 900 + k)]
+    r.shuffle(texts)
+    whole = spark.createDataFrame(list(enumerate(texts)), "r bigint, text string")
+    made = [(k, [(r.getrandbits(64) & 3) + (n << 32) for n in range(op.SKETCHES)], (k,)) for k in range(len(texts))]
+    reps = spark.createDataFrame(made, "id bigint, fps array<bigint>, win struct<row:bigint>")
+    written, cut = {}, op.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(op, "cut", counted)
+    found = [tuple(x) for x in op.similar_pairs(whole, "r", reps, block, op.LONG_FROM).collect()]
+    labels = similar_components(texts)
+    want = {(a, b) for a, b in combinations(range(len(texts)), 2) if labels[a] == labels[b]}
+    assert len(want) == 100 and set(found) == want and len(found) == len(want)
+    assert max(written.values()) <= 40 * len(texts), written
+
+
+def test_spanning_matches_brute_force():
+    """Sets of many sizes, an empty pair and both sides of a pair of blocks."""
+    r = random.Random(8)
+    for side_of in (lambda k: 0, lambda k: 1 + k % 2):
+        for _ in range(40):
+            base = [r.sample(range(1000), r.randint(1, 60)) for _ in range(4)]
+            sets = [np.array(sorted({x if r.random() > 0.06 else r.randrange(1000) for x in r.choice(base)}), np.int64) for _ in range(25)]
+            sets += [np.zeros(0, np.int64)] * 2
+            part = np.array([r.randrange(12) for _ in sets])
+            side = np.array([side_of(k) for k in range(len(sets))])
+
+            def joined(pairs):
+                label = part.copy()
+                for a, b in pairs:
+                    label[label == label[b]] = label[a]
+                return label
+
+            near = lambda a, b: not (a | b) or len(a & b) / len(a | b) >= op.SIMILARITY
+            meet = [(a, b) for a, b in combinations(range(len(sets)), 2) if side[a] == 0 or side[a] != side[b]]
+            want = joined([(a, b) for a, b in meet if near(set(sets[a].tolist()), set(sets[b].tolist()))])
+            pairs = list(zip(*(x.tolist() for x in op.spanning(sets, part, side))))
+            got = joined(pairs)
+            assert ((got[:, None] == got) == (want[:, None] == want)).all() and len(pairs) < len(set(part.tolist()))
+            assert all(near(set(sets[a].tolist()), set(sets[b].tolist())) for a, b in pairs)
