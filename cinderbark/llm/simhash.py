@@ -34,7 +34,10 @@ two-word shingles, which one changed word moves less than longer ones; a pair
 within ``DISTANCE`` bits in any of them is a candidate.  The same keys, chains
 and blocks find candidates; each block gives a spanning forest of real
 candidate pairs, nearest first, and each pair of it is verified on whole texts
-before components are formed.  Where a pair of the forest fails and leaves texts
+before components are formed.  Keys are searched in three passes (``_PASSES``).
+A later pass knows the parts that earlier ones have linked and gives only pairs
+that join two of them, so texts that meet in many keys are few pairs; what it
+leaves out is in one component of candidates already.  Where a pair of the forest fails and leaves texts
 apart, all texts of its component are compared across the parts, whatever their
 bits, so no candidate that is similar enough is left out.  They meet in pairs of
 blocks that hold whole sets of shingles; each gives a spanning forest of its
@@ -237,15 +240,26 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray, used: list | None =
     return label
 
 
-def forest(key: np.ndarray, fps: np.ndarray, start: np.ndarray, side: np.ndarray, real: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def first_of_parts(run: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """For each place the first place of the same ``run`` and ``part``."""
+    order = np.lexsort((part, run))
+    r, p = run[order], part[order]
+    new = np.ones(len(run), bool)
+    new[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1])
+    out = np.empty(len(run), np.int64)
+    out[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return out
+
+
+def forest(key: np.ndarray, fps: np.ndarray, start: np.ndarray, side: np.ndarray, real: bool = False, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places that span the links within each run of equal ``key``; ``real`` ones are links themselves.
 
     ``side``: 0 for rows that meet all of their run, else 1 or 2 for rows that
-    meet those of the other side only.
+    meet those of the other side only.  ``part``: rows of a run and part are linked already.
     """
     used: list = []
     n = len(key)
-    label = np.arange(n)
+    label = np.arange(n) if part is None else first_of_parts(key, part)
     at, shift, held, count = np.arange(n), 0, [], 0
     while len(at):
         shift += 1
@@ -253,6 +267,8 @@ def forest(key: np.ndarray, fps: np.ndarray, start: np.ndarray, side: np.ndarray
         at = at[key[at] == key[at + shift]]
         other = at + shift
         meet = (side[at] == 0) | (side[at] != side[other])
+        if part is not None:
+            meet &= label[at] != label[other]
         a, b = at[meet], other[meet]
         diff = fps[a] ^ fps[b]
         ok = np.bitwise_count(diff) <= DISTANCE
@@ -281,14 +297,20 @@ _EDGES = "a bigint, b bigint"
 
 
 def _forests(batches, named: bool = False):
-    """Rows come sorted by (key, pair); runs may reach over batches.  ``named``: edges are real links between column ``id``."""
+    """Rows come sorted by (key, pair); runs may reach over batches.  ``named``: edges are real links of parts between column ``id``."""
     fields, rest = arrow_fields(_EDGES), None
-    names = ("key", "pair", "fp", "side", *(["id"] if named else []))
+    names = ("key", "pair", "fp", "side", *(["id", "part"] if named else []))
 
     def edges(cols):
-        key, pair, fp, side, *ids = cols
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
-        a, b = forest(np.cumsum(new), fp.view(np.uint64), key >> 60, side, named)
+        key, pair = cols[:2]
+        run = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]))
+        if named:  # runs of one part hold nothing new
+            part, starts = cols[5], np.flatnonzero(np.diff(run, prepend=0))
+            several = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
+            open_ = several[run - 1]
+            run, cols = run[open_], [x[open_] for x in cols]
+        key, _, fp, side, *ids = cols
+        a, b = forest(run, fp.view(np.uint64), key >> 60, side, named, ids[1] if named else None)
         node = ids[0] if named else fp
         return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], schema=fields)
 
@@ -313,28 +335,34 @@ def links(distinct: DataFrame, block: int = BLOCK, long_from: int = LONG_FROM) -
     return _dealt(keyed, block).mapInArrow(_forests, _EDGES)
 
 
-def _pairs_of_blocks(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows with ``pair`` and ``side``, one for each pair of blocks that holds the row's; ``blocks`` is the number of its group."""
+def _pairs_of_blocks(rows: DataFrame, *by: str, own: bool = False) -> DataFrame:
+    """Rows with ``pair`` and ``side``, one for each pair of blocks that holds the row's; ``blocks`` is the number of its group.
+
+    ``own``: only the pair of the row's block with itself.
+    """
     return (
         rows.withColumn("mine", F.pmod(F.xxhash64(*by), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("other", F.col("mine") if own else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("pair", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other"))
         .withColumn("side", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2))
     )
 
 
-def _dealt(keyed: DataFrame, block: int) -> DataFrame:
+def _dealt(keyed: DataFrame, block: int, own: bool = False) -> DataFrame:
     """Rows by key (key, pair, fp, side, ...), sorted; keys of more than ``block`` rows as pairs of blocks.
 
     Only such keys are looked up (a written table of a row for each ``block`` rows
     at most, whose size decides how it is joined); all others meet in the exchange.
+    Large keys of one ``part`` hold nothing to link.  ``own``: blocks meet themselves only.
     """
     more = [c for c in keyed.columns if c not in ("key", "fp")]
-    big = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "big_keys")
+    several = (F.min("part") < F.max("part") if "part" in more else F.lit(True)).alias("several")
+    big = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), several).filter(F.col("n") > block), "big_keys")
     none = big.isEmpty()
     small = keyed if none else keyed.join(big, "key", "left_anti")
     small = small.select("key", F.lit(0).alias("pair"), "fp", F.lit(0).alias("side"), *more)
-    large = _pairs_of_blocks(keyed.join(big, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "fp", *more)
+    large = keyed.join(big.filter("several"), "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    large = _pairs_of_blocks(large, "fp", *(c for c in more if c != "part"), own=own)
     large = large.select("key", "pair", "fp", "side", *more)
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = small if none else small.unionByName(large)
@@ -388,23 +416,40 @@ def _sketched(batches):
         yield pa.RecordBatch.from_arrays([b.column("row").cast(fields.field("row").type), b.column("doc_id"), *columns], schema=fields)
 
 
-_NAMED_KEYS = "key bigint, fp bigint, id bigint"
+_NAMED_KEYS = "key bigint, fp bigint, id bigint, part bigint"
+#: Sketches, keys of each (all: None) and whether the blocks of a large key meet themselves only: one key of one sketch links most of a large group.
+_PASSES = (((0,), 1, True), ((0,), None, False), (tuple(range(1, SKETCHES)), None, False))
 
 
-def _sketch_keyer(long: bool):
+def _sketch_keyer(long: bool, numbers: tuple[int, ...], first: int | None):
     def keyed(batches):
         fields = arrow_fields(_NAMED_KEYS)
         for b in batches:
             fps = np.array(b.column("fps").flatten().to_numpy(zero_copy_only=False)).reshape(-1, SKETCHES)
-            for number in range(SKETCHES):
+            for number in numbers:
                 mine = np.ascontiguousarray(fps[:, number])
-                for key in keys(mine.view(np.uint64), long):
+                for key in keys(mine.view(np.uint64), long)[:first]:
                     key = key ^ np.uint64(number << 40)  # a sketch's keys meet its own only; a chance meeting is checked like any other
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(mine), b.column("id")], schema=fields)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(mine), b.column("id"), b.column("part")], schema=fields)
 
     return keyed
 
 
+def _candidates(reps: DataFrame, block: int, long_from: int) -> DataFrame:
+    """(a, b): pairs of ``id`` that span all pairs within ``DISTANCE`` bits in a sketch."""
+    long, found = reps.count() >= long_from, None
+    parts = reps.select("id", "fps", F.col("id").alias("part"))
+    for numbers, first, own in _PASSES:
+        if found is not None:
+            roots = components(found)
+            parts = cut(reps.select("id", "fps").join(roots, F.col("id") == F.col("node"), "left").select("id", "fps", F.coalesce("root", "id").alias("part")), "parts")
+        keyed = parts.mapInArrow(_sketch_keyer(long, numbers, first), _NAMED_KEYS)
+        pairs = _dealt(keyed, block, own).mapInArrow(lambda batches: _forests(batches, named=True), _EDGES)
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
 _SETS = "id bigint, shingles array<bigint>"
 
 
@@ -493,9 +538,7 @@ def _similar(found: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similar_pairs(whole: DataFrame, row: str, reps: DataFrame, block: int, long_from: int) -> DataFrame:
     """(a, b): pairs of ``id`` that are similar enough, and that span all such candidates."""
-    keyed = reps.select("id", "fps").mapInArrow(_sketch_keyer(reps.count() >= long_from), _NAMED_KEYS)
-    found = _dealt(keyed, block).mapInArrow(lambda batches: _forests(batches, named=True), _EDGES)
-    found = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    found = _candidates(reps, block, long_from)
     sets = _shingle_sets(found, whole, row, reps)
     near = cut(_similar(found, sets), "similar")
     failed = cut(found.join(near, ["a", "b"], "left_anti"), "failed")

@@ -232,3 +232,37 @@ def test_spanning_matches_brute_force():
             got = joined(pairs)
             assert ((got[:, None] == got) == (want[:, None] == want)).all() and len(pairs) < len(set(part.tolist()))
             assert all(near(set(sets[a].tolist()), set(sets[b].tolist())) for a, b in pairs)
+
+
+@pytest.mark.parametrize("block", [op.BLOCK, 50])
+def test_candidates_of_a_large_group_grow_with_its_texts(spark, block, monkeypatch):
+    """400 texts that are near in all sketches and 40 chains through other sketches: a few pairs for each text, none lost."""
+    r, made = random.Random(4), []
+    flip = lambda x, bits: x ^ sum(1 << b for b in r.sample(range(62), bits))
+    base = [r.getrandbits(62) for _ in range(op.SKETCHES)]
+    made += [[flip(x, r.randint(0, 3)) for x in base] for _ in range(400)]
+    for k in range(40):
+        chain = [[r.getrandbits(62) for _ in range(op.SKETCHES)] for _ in range(3)]
+        for a, b in ((0, 1), (1, 2)):
+            at = r.randrange(op.SKETCHES)
+            chain[b][at] = flip(chain[a][at], r.randint(0, op.DISTANCE))
+        made += chain
+    r.shuffle(made)
+    reps = spark.createDataFrame([(k, fps, (k,)) for k, fps in enumerate(made)], "id bigint, fps array<bigint>, win struct<row:bigint>")
+    verified = []
+    monkeypatch.setattr(op, "_shingle_sets", lambda found, *_: verified.append(found.collect()) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        op.similar_pairs(None, "row", reps, block, op.LONG_FROM)
+    found = [tuple(x) for x in verified[0]]
+    near = lambda a, b: any((x ^ y).bit_count() <= op.DISTANCE for x, y in zip(made[a], made[b]))
+    assert all(near(a, b) for a, b in found)
+
+    def joined(pairs):
+        label = np.arange(len(made))
+        for a, b in pairs:
+            label[label == label[b]] = label[a]
+        return label
+
+    got, want = joined(found), joined([p for p in combinations(range(len(made)), 2) if near(*p)])
+    assert ((got[:, None] == got) == (want[:, None] == want)).all()
+    assert len(found) <= 4 * len(made), len(found)
